@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,7 +61,25 @@ class Stash:
             p.getFileSystem(conf).delete(p, True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context, so that workers can import it wherever the driver runs."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidemark_shipped", False):
+        return
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), "tidemark_package.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("tidemark", os.path.relpath(full, home)))
+    sc.addPyFile(archive)
+    sc._tidemark_shipped = True
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
     """``mapInArrow`` with bounded batches."""
     bound_batches(df.sparkSession)
+    ship_package(df.sparkSession)
     return df.mapInArrow(fn, schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, rule_ledger, source_mixing, token_counts
+from . import byte_bpe, license_scan, rule_ensemble, rule_ledger, source_mixing, token_counts
 from .common import table
 
 
@@ -27,11 +27,22 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan_licenses(docs, keep_text=False)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.encode_digests(docs, tokenizer_path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = rule_ensemble.train(docs, table(spark, sf_dir, "labels"))
+    return rule_ensemble.score(docs, model).select("doc_id", rule_ensemble.held_out().alias("held_out"), "score", "predicted")
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return source_mixing.mix(docs).select("doc_id", "source", "copy_no", "n_copies", "mix_key")
@@ -40,7 +51,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_token_counts": op4_token_counts,
+    "op5_license_scans": op5_license_scans,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_source_mixing": op10_source_mixing,
 }
 
