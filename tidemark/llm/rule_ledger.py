@@ -36,7 +36,7 @@ RULES = (
     Rule(0, "too_short", "n_words < 50"),
     Rule(1, "repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     Rule(2, "symbols", "100 * n_symbols > 20 * n_words"),
-    Rule(3, "repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule(3, "repeated_lines", "100 * n_dup_lines > 50 * n_lines"),
     Rule(4, "word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
     Rule(5, "capitals", "100 * n_upper > 50 * word_chars"),
 )
