@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, license_scan, rule_ensemble, rule_ledger, source_mixing, token_counts
+from . import byte_bpe, hamming_search, license_scan, rule_ensemble, rule_ledger, source_mixing, token_counts
 from .common import table
 
 
@@ -22,6 +23,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ledger.apply_policy(ledger).select("doc_id", *rule_ledger.MEASURES, "base_failed", "kept", "n_lines", "n_upper", "fail_bits", "policy")
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming_search.sign_code("embedding").alias("code"))
+    return hamming_search.search(rows, rows.where("id % 20 = 0"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -50,6 +56,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_exact_topk": op2_exact_topk,
     "op4_token_counts": op4_token_counts,
     "op5_license_scans": op5_license_scans,
     "op7_byte_bpe": op7_byte_bpe,
@@ -79,6 +86,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND (fail_bits & {rule_ledger.DEFAULT_POLICY.mask}) = 0 AS kept,
   n_lines, n_upper, fail_bits, '{rule_ledger.DEFAULT_POLICY.version}' AS policy
 FROM b""",
+    "op2_exact_topk": f"""
+WITH e AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+d AS (SELECT q.vec_id AS query_id, e.vec_id AS id,
+  list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: CASE WHEN (q.embedding[i] > 0) <> (e.embedding[i] > 0) THEN 1 ELSE 0 END)) AS distance
+  FROM e q, e WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, CAST(distance AS INTEGER) AS distance FROM r WHERE rank <= {hamming_search.K}""",
     "op10_source_mixing": f"""
 WITH s AS (SELECT coalesce(source, '') AS source, sum(coalesce(octet_length(encode(text)), 0)) AS n_bytes FROM documents GROUP BY 1),
 r AS (SELECT source, CASE WHEN n_bytes > 0 THEN 1.0::DOUBLE * (CAST(sum(n_bytes) OVER () AS DOUBLE) / sum(CASE WHEN n_bytes > 0 THEN 1.0::DOUBLE ELSE 0 END) OVER ()) / n_bytes ELSE 0 END AS rate FROM s),
