@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -54,11 +55,14 @@ class Stash:
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
+        """Delete tables, and let the context clean the shuffle files of jobs that are over."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
             p = jvm.org.apache.hadoop.fs.Path(self.path(name))
             p.getFileSystem(conf).delete(p, True)
+        gc.collect()
+        jvm.System.gc()
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, hamming_search, license_scan, rule_ensemble, rule_ledger, source_mixing, token_counts
+from . import byte_bpe, hamming_search, html_extract, license_scan, near_dedup, rule_ensemble, rule_ledger, source_mixing, suffix_dedup, token_counts
 from .common import table
 
 
@@ -28,6 +28,11 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_search.search(rows, rows.where("id % 20 = 0"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.dedup_substrings(docs, with_text=False)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -38,11 +43,19 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(docs, keep_text=False)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.encode_digests(docs, tokenizer_path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = rule_ensemble.train(docs, table(spark, sf_dir, "labels"))
@@ -57,9 +70,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_exact_topk": op2_exact_topk,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_license_scans": op5_license_scans,
+    "op6_html_extraction": op6_html_extraction,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_near_dedup": op8_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_source_mixing": op10_source_mixing,
 }
