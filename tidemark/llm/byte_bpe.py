@@ -22,6 +22,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import map_arrow
 
@@ -306,7 +307,7 @@ def _encoded(docs: DataFrame, ranks_path: str, text: str, with_ids: bool) -> Dat
             yield pa.RecordBatch.from_arrays([c for _, c in columns] + more, names=[n for n, _ in columns] + made[: len(more)])
 
     schema = kept.drop("__text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    return map_arrow(kept, run, schema.add("ids", "array<int>") if with_ids else schema)
+    return map_arrow(kept, run, schema.add("ids", ArrayType(IntegerType())) if with_ids else schema)
 
 
 _encoders: dict[str, RankEncoder] = {}
