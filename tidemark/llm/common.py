@@ -9,7 +9,8 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: One Arrow batch handed to a Python worker stays under this size, so that long
 #: documents do not add up to more than a worker can hold.
@@ -65,6 +66,15 @@ class Stash:
         jvm.System.gc()
 
 
+def once(column: Column) -> Column:
+    """The column, so marked that a filter on it stays above it.
+
+    The optimizer moves filters below projections by writing out what a column stands for; a
+    filter on a column of many nested steps would repeat all of them, each several times over.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once a context, so that workers can import it wherever the driver runs."""
     sc = spark.sparkContext

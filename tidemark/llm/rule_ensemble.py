@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import once
 from .rule_ledger import measure
 
 #: At most so many labelled rows are learned from: those whose hashed id comes first.
@@ -169,5 +170,5 @@ def score(docs: DataFrame, model: RuleEnsemble, text: str = "text", threshold: f
     Null and empty texts have statistics of zero and a score like any other.
     """
     d = with_features(docs.drop("score", "predicted"), text)
-    d = d.withColumn("score", model.column()).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    d = d.withColumn("score", once(model.column())).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
     return d.drop(*[f"__f_{k}" for k in NAMES])

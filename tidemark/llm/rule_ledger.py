@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import once
+
 #: Measurements, in this order, besides n_lines and n_upper.
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -108,7 +110,7 @@ def build_ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "
     bits = F.lit(0).cast("long")
     for r in rules:
         bits = bits.bitwiseOR(F.when(F.expr(r.failed), F.lit(r.mask)).otherwise(0).cast("long"))
-    return d.withColumn("fail_bits", bits).drop(text)
+    return d.withColumn("fail_bits", once(bits)).drop(text)
 
 
 def apply_policy(ledger: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
