@@ -36,8 +36,11 @@ def debounce(events: DataFrame, gap: str, watermark: str | None = None, key: str
     """
     e = events.withWatermark("event_ts", watermark) if watermark else events
     w = F.session_window("event_ts", gap)
+    if events.isStreaming and not key:
+        # a stream has to group a session window by something else too: by what is the same for every event
+        key, e = "__all", e.withColumn("__all", F.coalesce(F.year("event_ts") * 0, F.lit(0)))
     d = e.groupBy(w, *([key] if key else [])).agg(F.count(F.lit(1)).alias("n_events"), F.min("event_ts").alias("first_ts"), F.max("event_ts").alias("last_ts"))
-    return d.drop("session_window")
+    return d.drop("session_window", "__all")
 
 
 def sweeps(events: DataFrame, period: str) -> DataFrame:
