@@ -100,7 +100,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, id_column: str = "id
             p = active.select("q", "bound", F.lit(s).alias("s"), F.lit(r).alias("r"), F.explode(seg.flips(s, r)).alias("f"))
             p = p.select("q", "bound", "s", "r", seg.value(F.col("q"), s).bitwiseXOR(F.col("f")).alias("v"))
             probes = p if probes is None else probes.unionByName(p)
-        p, e = probes.alias("p"), postings.alias("e")
+        # sizes estimated before an explode say nothing about it: without the hint, probes would be broadcast
+        p, e = probes.alias("p"), postings.hint("merge").alias("e")
         apart = F.col("p.q").bitwiseXOR(F.col("e.code"))
         new = F.lit(True)  # not met at a lower radius, nor at this one through an earlier segment
         for s in range(seg.m):
