@@ -24,9 +24,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the one of the least id."""
-    classes = near_dedup.near_duplicates(docs).where("doc_id = class_id").select("doc_id")
-    return docs.join(classes, "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each class: the one of the least id. A document without an id stays."""
+    others = near_dedup.near_duplicates(docs).where("doc_id <> class_id").select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
