@@ -117,7 +117,7 @@ def _sweep(text, own, up, n_chars, seeds, seed_common, cap, budget):
         before = suffixes - 1
         good = np.flatnonzero(suffixes > 0)
         good = good[own[before[good]]]
-        least = common.min()
+        least = common.min() if cap else 0
         if not len(good):
             since = np.minimum(since, least)
             return
@@ -126,6 +126,11 @@ def _sweep(text, own, up, n_chars, seeds, seed_common, cap, budget):
         target, place = target[order], good[order]
         first = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
         heads = target[first].astype(np.int64)
+        if not cap:  # the order alone is asked for
+            moved = before[place]
+            for h, a, b in zip(heads.tolist(), first.tolist(), [*first[1:].tolist(), len(place)], strict=True):
+                queue.put(h, moved[a:b], common[a:b])
+            return
         start = np.empty(len(place), np.int64)
         start[1:] = place[:-1] + 1
         start[first] = 0
@@ -212,37 +217,53 @@ def _induce(text, rising, runs, stars, star_common, n_chars, cap, budget):
 
 
 def _sort_names(names: np.ndarray) -> np.ndarray:
-    """The suffixes of a string over a large alphabet in order, by doubling the length that ranks stand for."""
+    """The suffixes of a string over a large alphabet in order, by doubling the length that ranks stand for.
+
+    A rank is the number of suffixes before the first of its group; only groups of more than one are sorted again.
+    """
     n = len(names)
-    rank = np.unique(names, return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(names)
+    head = np.concatenate([[True], names[order][1:] != names[order][:-1]])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     width = 1
     while True:
-        following = np.zeros(n, np.int64)
-        following[: n - width] = rank[width:] + 1
-        key = rank * np.int64(n + 1) + following
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
-        rank, width = new, 2 * width
-        if rank[order[-1]] == n - 1 or width >= n:
+        single = head & np.append(head[1:], True)
+        tied = np.flatnonzero(~single)  # places in the order
+        if not len(tied) or width >= n:
             return order
+        members = order[tied]
+        after = members + width
+        following = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        key = rank[members] * np.int64(n + 1) + following
+        by = np.argsort(key)
+        members, key = members[by], key[by]
+        order[tied] = members
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        head[tied] = fresh
+        rank[members] = np.maximum.accumulate(np.where(fresh, tied, 0))
+        width *= 2
+
+
+def _packed(text: np.ndarray) -> np.ndarray:
+    """Four characters from each place on in one integer, the first lowest; beyond the end the character 65535."""
+    wide = np.concatenate([text.astype(np.uint64), np.full(3, 0xFFFF, np.uint64)])
+    n = len(text)
+    return wide[:n] | wide[1 : n + 1] << np.uint64(16) | wide[2 : n + 2] << np.uint64(32) | wide[3:] << np.uint64(48)
 
 
-def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefixes of pairs of suffixes, at most ``cap``."""
-    n = len(text)
-    out = np.zeros(len(a), np.uint16)
+def _common(packed: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int | np.ndarray) -> np.ndarray:
+    """Common prefixes of pairs of different suffixes, at most ``cap``. The text's last character is nowhere else in it."""
+    out = np.zeros(len(a), np.int64)
+    limit = np.broadcast_to(np.asarray(cap, np.int64), out.shape)
     live, done = np.arange(len(a)), 0
-    while len(live) and done < cap:
-        step = min(8, cap - done)
-        at = np.arange(done, done + step)
-        x, y = a[live][:, None] + at, b[live][:, None] + at
-        same = (x < n) & (y < n)
-        same &= text[np.minimum(x, n - 1)] == text[np.minimum(y, n - 1)]
-        met = np.where(same.all(axis=1), step, same.argmin(axis=1))
-        out[live] += met.astype(np.uint16)
-        live, done = live[met == step], done + step
-    return out
+    while len(live):
+        x = packed[a[live] + done] ^ packed[b[live] + done]
+        met = np.where(x == 0, 4, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 4)
+        out[live] += met
+        done += 4
+        live = live[(met == 4) & (done < limit[live])]
+    return np.minimum(out, limit)
 
 
 def sort_suffixes(text: np.ndarray, cap: int = 65534, budget: int = QUEUE_BYTES) -> tuple[np.ndarray, np.ndarray]:
@@ -259,7 +280,7 @@ def sort_suffixes(text: np.ndarray, cap: int = 65534, budget: int = QUEUE_BYTES)
     stars = np.flatnonzero(rising[1:] & ~rising[:-1]) + 1
     # substrings between S* places are sorted by inducing from S* places by first character alone
     by_char = stars[np.argsort(text[stars], kind="stable")]
-    order, _ = _induce(text, rising, runs, by_char, np.zeros(len(stars), np.uint16), n_chars, 1, budget)
+    order, _ = _induce(text, rising, runs, by_char, np.zeros(len(stars), np.uint16), n_chars, 0, budget)
     is_star = np.zeros(len(text), bool)
     is_star[stars] = True
     by_piece = order[is_star[order]]
@@ -267,19 +288,13 @@ def sort_suffixes(text: np.ndarray, cap: int = 65534, budget: int = QUEUE_BYTES)
     length = np.zeros(len(text), np.int64)
     length[stars] = ends - stars
     # equal neighbours are one name
+    packed = _packed(text)
     a, b = by_piece[:-1], by_piece[1:]
     equal = length[a] == length[b]
     maybe = np.flatnonzero(equal)
     if len(maybe):
         size = length[a[maybe]]
-        same = np.zeros(len(maybe), bool)
-        short = size < 60000
-        met = _common(text, a[maybe][short], b[maybe][short], int(size[short].max(initial=1)))
-        same[short] = met >= size[short]
-        for k in np.flatnonzero(~short):
-            i, j, z = a[maybe[k]], b[maybe[k]], size[k]
-            same[k] = np.array_equal(text[i : i + z], text[j : j + z])
-        equal[maybe] = same
+        equal[maybe] = _common(packed, a[maybe], b[maybe], size) >= size
     name = np.zeros(len(text), np.int64)
     name[by_piece] = np.cumsum(np.concatenate([[0], ~equal]))
     if len(stars) > 1 and equal.any():
@@ -287,6 +302,6 @@ def sort_suffixes(text: np.ndarray, cap: int = 65534, budget: int = QUEUE_BYTES)
     else:
         sorted_stars = by_piece
     common = np.zeros(len(stars), np.uint16)
-    common[1:] = _common(text, sorted_stars[:-1], sorted_stars[1:], cap)
+    common[1:] = _common(packed, sorted_stars[:-1], sorted_stars[1:], cap)
     order, common = _induce(text, rising, runs, sorted_stars, common, n_chars, cap, budget)
     return order[1:], common[1:]

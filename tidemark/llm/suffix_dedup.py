@@ -83,7 +83,7 @@ def leads(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.
     at = np.flatnonzero(_window(padded, w, np.maximum, np.uint64(0)) == h)
     start, end = np.maximum(at - (length - k), 0), np.minimum(at + length, n)
     context = _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (at - start).astype(np.uint64))
-    return at, h[at], context, start, end
+    return at, h[at], context, start, end  # start and end are those of the context
 
 
 def _utf8(text: str | None) -> bytes:
@@ -91,36 +91,36 @@ def _utf8(text: str | None) -> bytes:
 
 
 def find_leads(docs: DataFrame, length: int) -> DataFrame:
-    """``lead, context, id, start, end`` for each lead of each text. ``docs``: id, text."""
+    """``lead, context, id, at, start, end`` for each lead of each text. ``docs``: id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at, lead, context, start, end = leads(_utf8(t), length)
-                parts.append((lead.view(np.int64), context.view(np.int64), np.full(len(at), i, np.int64), start.astype(np.int32), end.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["lead", "context", "id", "start", "end"])
+                parts.append((lead.view(np.int64), context.view(np.int64), np.full(len(at), i, np.int64), at.astype(np.int32), start.astype(np.int32), end.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["lead", "context", "id", "at", "start", "end"])
 
-    return map_arrow(docs, run, "lead long, context long, id long, start int, end int")
+    return map_arrow(docs, run, "lead long, context long, id long, at int, start int, end int")
 
 
 def cut_contexts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """The bytes of contexts. ``wanted``: lead, times, id, start, end; adds ``bytes``."""
-    per = wanted.groupBy("id").agg(F.collect_list(F.struct("lead", "times", "start", "end")).alias("cuts"))
+    """The bytes of contexts. ``wanted``: lead, times, id, at, start, end; ``at`` is the lead's place in the bytes."""
+    per = wanted.groupBy("id").agg(F.collect_list(F.struct("lead", "times", "at", "start", "end")).alias("cuts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             ids, texts, cuts = (batch.column(k).to_pylist() for k in range(3))
             for i, t, cs in zip(ids, texts, cuts, strict=True):
                 raw = _utf8(t)
                 for c in cs:
-                    for column, v in zip(out, (c["lead"], c["times"], i, c["start"], raw[c["start"] : c["end"]]), strict=True):
+                    for column, v in zip(out, (c["lead"], c["times"], i, c["at"] - c["start"], c["start"], raw[c["start"] : c["end"]]), strict=True):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], names=["lead", "times", "id", "start", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], names=["lead", "times", "id", "at", "start", "bytes"])
 
-    return map_arrow(docs.join(per, "id").select("id", "text", "cuts"), run, "lead long, times long, id long, start int, bytes binary")
+    return map_arrow(docs.join(per, "id").select("id", "text", "cuts"), run, "lead long, times long, id long, at int, start int, bytes binary")
 
 
 def repeated_starts(contexts: list[bytes], places: list[tuple[int, int]], times: list[int], length: int = LENGTH) -> list[list[tuple[int, int]]]:
@@ -154,6 +154,39 @@ def repeated_starts(contexts: list[bytes], places: list[tuple[int, int]], times:
     return found
 
 
+def shared_reach(leads_of: np.ndarray, sides: list[bytes], width: int) -> np.ndarray:
+    """How far each of ``sides``, read away from its lead, agrees with any other of the same lead."""
+    n = len(sides)
+    room = np.array([len(x) for x in sides], np.int64)
+    flat = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in sides), np.uint8).reshape(n, width)
+    key = np.concatenate([leads_of.astype(">i8").view(np.uint8).reshape(n, 8), flat], axis=1)
+    order = np.argsort(np.ascontiguousarray(key).view(f"S{8 + width}").ravel(), kind="stable")
+    rows = flat[order]
+    same = rows[1:] == rows[:-1]
+    met = np.where(same.all(axis=1), width, same.argmin(axis=1))
+    met = np.minimum(met, np.minimum(room[order][1:], room[order][:-1]))
+    met[leads_of[order][1:] != leads_of[order][:-1]] = 0
+    most = np.zeros(n, np.int64)
+    most[:-1] = met
+    most[1:] = np.maximum(most[1:], met)
+    out = np.empty(n, np.int64)
+    out[order] = most
+    return out
+
+
+def trimmed(held: list[tuple], length: int) -> list[tuple[int, int, int, bytes]]:
+    """``times, id, start, bytes`` of contexts, less what no string of ``length`` bytes shared within a lead can reach."""
+    k = length // 2
+    lead = np.array([h[0] for h in held], np.int64)
+    before = shared_reach(lead, [h[5][: h[3]][::-1] for h in held], length - k)
+    after = shared_reach(lead, [h[5][h[3] + k :] for h in held], length - k)
+    out = []
+    for h, b, a in zip(held, before.tolist(), after.tolist(), strict=True):
+        if b + k + a >= length:
+            out.append((h[1], h[2], h[4] + h[3] - b, h[5][h[3] - b : h[3] + k + a]))
+    return out
+
+
 def sort_shards(contexts: DataFrame, length: int) -> DataFrame:
     """``id, start, end``: repeated bytes found among different contexts. Rows come sorted by lead within a partition.
 
@@ -166,11 +199,14 @@ def sort_shards(contexts: DataFrame, length: int) -> DataFrame:
 
         def solve() -> pa.RecordBatch:
             out = ([], [], [])
-            for (_, times, i, start, _), ranges in zip(held, repeated_starts([h[4] for h in held], [(h[2], h[3]) for h in held], [h[1] for h in held], length), strict=True):
-                if times == 1:  # others are repeated throughout, and known to be
-                    for a, b in ranges:
-                        for column, v in zip(out, (i, start + a, start + b - 1 + length), strict=True):
-                            column.append(v)
+            kept = trimmed(held, length)
+            if kept:
+                found = repeated_starts([c[3] for c in kept], [(c[1], c[2]) for c in kept], [c[0] for c in kept], length)
+                for (times, i, start, _), ranges in zip(kept, found, strict=True):
+                    if times == 1:  # others are repeated throughout, and known to be
+                        for a, b in ranges:
+                            for column, v in zip(out, (i, start + a, start + b - 1 + length), strict=True):
+                                column.append(v)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["id", "start", "end"])
 
         for batch in batches:
@@ -180,7 +216,7 @@ def sort_shards(contexts: DataFrame, length: int) -> DataFrame:
                     held, size = [], 0
                 last = row[0]
                 held.append(row)
-                size += len(row[4]) + 1
+                size += len(row[5]) + 1
         if held:
             yield solve()
 
@@ -238,11 +274,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     shared = found.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("lead")
     again = stash.save(found.join(shared, "lead"), "shared")
     stash.drop("leads")
-    kinds = stash.save(again.groupBy("lead", "context").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "start", "end")).alias("one")), "contexts")
+    kinds = stash.save(again.groupBy("lead", "context").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "at", "start", "end")).alias("one")), "contexts")
     whole = again.join(kinds.where("times > 1").select("lead", "context"), ["lead", "context"])
     whole = stash.save(whole.select("id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")), "whole")
     per_lead = kinds.groupBy("lead").agg(F.count(F.lit(1)).alias("n_contexts")).where("n_contexts > 1")
-    mixed = stash.save(kinds.join(per_lead, "lead").select("lead", "times", "one.id", "one.start", "one.end", "n_contexts"), "mixed")
+    mixed = stash.save(kinds.join(per_lead, "lead").select("lead", "times", "one.id", "one.at", "one.start", "one.end", "n_contexts"), "mixed")
     stash.drop("shared", "contexts")
     cut = cut_contexts(mixed.where(F.col("n_contexts") <= HOT_CONTEXTS), docs)
     shards = cut.repartition("lead").sortWithinPartitions("lead")
