@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.errors import ConfigError, SecurityError, StoreError
 from tidemark.functions import exprs as X
 from tidemark.operators import exact, matchers, reports, similarity, store
+from tidemark.plans.session import ensure_checkpoints
 from tidemark.sources import crawl
 from tidemark.streaming import watch
 
@@ -121,6 +122,13 @@ def test_hamming_pairs_by_bands(spark):
     assert got == {(i, j): bits(x ^ y) for i, x in codes for j, y in codes if i < j and bits(x ^ y) <= 3}
 
 
+def test_clusters_of_long_chains(spark):
+    ensure_checkpoints(spark)
+    chains = spark.range(200).selectExpr("id a", "id + 1 b").union(spark.range(1000, 1090).selectExpr("id + 1", "id"))
+    got = {r.id: r.label for r in similarity.clusters(chains).collect()}
+    assert got == {**dict.fromkeys(range(201), 0), **dict.fromkeys(range(1000, 1091), 1000)}
+
+
 def test_debounce_stream_equals_batch(spark, sf, tmp_path):
     """The stream emits every window but the last, which is open still."""
     src = spark.read.parquet(f"{sf}/events.parquet").select(F.col("ts").cast("timestamp").alias("event_ts"), F.lit("modify").alias("kind"), F.array(F.lit("/f")).alias("paths"))

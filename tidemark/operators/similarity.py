@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,14 +64,36 @@ def cosine_pairs(vectors: DataFrame, least: float, blocks: int = 4) -> DataFrame
     return left.join(right, ["blk", "other"]).where("a < b").select("a", "b", s.alias("similarity")).where(F.col("similarity") >= least)
 
 
-def clusters(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """``id, label`` of single-link clusters; labels are least ids. Each round is checkpointed."""
-    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a")).distinct().checkpoint()
-    labels = both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("label")).checkpoint()
-    for _ in range(max_rounds):
+def clusters(pairs: DataFrame) -> DataFrame:
+    """``id, label`` of single-link clusters; labels are least ids.
+
+    Each round takes the least label around each id, then the label of that label; it ends when
+    no label changes, so clusters are whole however long their chains are. Rounds are written to
+    the checkpoint folder and read back: size estimates of checkpointed joins multiply round by round.
+    """
+    spark = pairs.sparkSession
+    root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/clusters-{uuid.uuid4().hex}"
+
+    def saved(d: DataFrame, name: str) -> DataFrame:
+        schema = d.schema
+        d.write.parquet(f"{root}/{name}")
+        return spark.read.schema(schema).parquet(f"{root}/{name}")
+
+    def drop(name: str) -> None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    both = saved(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a")).distinct(), "edges")
+    labels = saved(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("label")), "0")
+    step = 0
+    while True:
+        step += 1
         near = both.join(labels, F.col("v") == F.col("id")).groupBy("u").agg(F.min("label").alias("m"))
-        new = labels.join(near, labels["id"] == near["u"]).select(labels["id"], F.least("label", "m").alias("label"), F.col("label").alias("old")).checkpoint()
+        new = labels.join(near, labels["id"] == near["u"]).select(labels["id"], F.least("label", "m").alias("l"), F.col("label").alias("old"))
+        jump = labels.select(F.col("id").alias("j"), F.col("label").alias("jl"))
+        new = saved(new.join(jump, F.col("l") == F.col("j"), "left").select("id", F.least("l", F.coalesce("jl", "l")).alias("label"), "old"), str(step))
+        drop(str(step - 1))
         labels = new.select("id", "label")
         if new.where("label <> old").isEmpty():
-            break
-    return labels
+            drop("edges")
+            return labels
