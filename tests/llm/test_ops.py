@@ -138,6 +138,25 @@ def test_pages(page, text):
     assert html_extract.main_text(page) == text
 
 
+MENU = "<ul>" + "".join(f"<li><a href=/{i}>menu item{i}</a>" for i in range(10)) + "</ul>"
+SOURCES = "<ul><li><a href=/1>First source</a><li><a href=/2>Second source</a><li><a href=/3>Third source</a></ul>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<body><div id=page>{MENU}<article><p>Short text.</p></article></div></body>", "Short text."),
+        (f"<body><div><div>{MENU}</div><div><p>Short text.</p></div></div></body>", "Short text."),
+        (f"<body><main>{MENU}<article><p>Short text.</p></article></main></body>", "Short text."),
+        (f"<body>{MENU}<article><p>Text.</p>{SOURCES}<p><a>one</a> <a>two</a> <a>three</a></p></article></body>", "Text.\nFirst source\nSecond source\nThird source\none two three"),
+        (f"<body><div>{MENU}</div><div><p>A text of some words, long enough.</p>{SOURCES}</div></body>", "A text of some words, long enough.\nFirst source\nSecond source\nThird source"),
+        ("<body><ul><li><a>Home</a><li><a>Shop</a><ul><li><a>Shoes</a><li><a>Hats</a><li><a>Coats</a></ul></ul><article><p>Short text.</p></article></body>", "Short text."),
+    ],
+)
+def test_link_lists(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_page_columns(spark):
     d = spark.createDataFrame([(1, "u", "<p>é", "old"), (1, "u", "<p>é", "old"), (2, None, None, None)], "page_id int, url string, html string, text string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_extract.extract_text(d).collect()) == [(1, "é", 1), (1, "é", 1), (2, "", 0)]

@@ -47,14 +47,14 @@ _STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "out", "soft", "chars", "tags", "link_chars", "link_tags", "children", "last", "index", "holds_article")
+    __slots__ = ("tag", "parent", "out", "soft", "chars", "tags", "link_chars", "link_tags", "children", "last", "index", "holds_article", "own", "always")
 
     def __init__(self, tag: str, parent: _Node | None, index: int, out: bool, soft: bool):
         self.tag, self.parent, self.index, self.last = tag, parent, index, index
         self.out, self.soft = out, soft  # left out for certain; left out unless it holds the article
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.own = 0
         self.children: list[_Node] = []
-        self.holds_article = False
+        self.holds_article = self.always = False
 
 
 def _kind(tag: str, attributes: str, parent: _Node) -> tuple[bool, bool]:
@@ -94,6 +94,51 @@ def _density(n: _Node, body: _Node) -> float:
     return chars / tags * adjusted
 
 
+def _mark(nodes: list[_Node], n: _Node, out: bool) -> None:
+    """Set what a link list holds in or out; what was out before it was judged stays out."""
+    for k in range(n.index, n.last + 1):
+        if not nodes[k].always:
+            nodes[k].out = out
+
+
+def _link_lists(nodes: list[_Node], inside: list[_Node]) -> list[_Node]:
+    """Mark lists of links as out, innermost first, and take them from the counts of what holds them.
+
+    What holds an article is never one, nor is anything within an article, or within a main that holds none.
+    """
+    for n in nodes:
+        n.always = n.out
+    holds: set[int] = set()
+    links = {n.index: n.link_tags for n in inside}
+    within: set[int] = set()
+    listed = []
+    for n in reversed(inside):
+        if n.parent is not None and (n.tag in ("article", "main") or n.index in holds):
+            holds.add(n.parent.index)
+    for n in inside:
+        if n.parent is not None and n.parent.index in within or n.tag == "article" or n.tag == "main" and n.index not in holds:
+            within.add(n.index)
+    for n in reversed(inside):
+        if n.tag not in ("ul", "ol", "dl", "div", "section", "table", "p") or n.index in holds or n.index in within:
+            continue
+        if links[n.index] >= 3 and n.link_chars > 0.6 * n.chars:
+            listed.append(n)
+            _mark(nodes, n, True)
+            _subtract(n)
+    return listed
+
+
+def _subtract(n: _Node) -> None:
+    """Take an element from the counts of all that hold it."""
+    up = n.parent
+    while up is not None:
+        up.chars -= n.chars
+        up.tags -= n.tags + 1
+        up.link_chars -= n.link_chars
+        up.link_tags -= n.link_tags
+        up = up.parent
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks in page order, a line each; empty for a null, empty or textless page."""
     if not html:
@@ -119,6 +164,8 @@ def main_text(html: str | None) -> str:
                 stack[-1].chars += n
                 if links:
                     stack[-1].link_chars += n
+                else:
+                    stack[-1].own += n
 
     def close(to: int) -> None:
         flush()
@@ -206,11 +253,9 @@ def main_text(html: str | None) -> str:
             n.out = True
     body = next((n for n in nodes if n.tag == "body"), root)
     inside = [n for n in nodes if not n.out]
+    listed = _link_lists(nodes, inside)
+    inside = [n for n in inside if not n.out]
     density = {n.index: _density(n, body) for n in inside}
-    for n in inside:  # lists of links
-        if n.tag in ("ul", "ol", "dl", "div", "section", "table", "p") and n.link_tags >= 3 and n.link_chars > 0.6 * n.chars and n.tag != "article":
-            for k in range(n.index, n.last + 1):
-                nodes[k].out = True
     best, score = body, -1.0
     for n in inside:
         if n.out or not n.children:
@@ -218,6 +263,17 @@ def main_text(html: str | None) -> str:
         s = sum(density.get(c.index, 0.0) for c in n.children if not c.out)
         if s > score:
             best, score = n, s
+    core = best
+    while True:  # down to the element that really holds the text
+        only = [c for c in core.children if not c.out and c.chars]
+        if len(only) != 1 or only[0].chars != core.chars or only[0].tag not in ("article", "div", "main", "section"):
+            break
+        core = only[0]
+    if core is not body:  # lists after the first text of what was selected are part of it, such as its references
+        first = next((n.index for n in inside if core.index <= n.index <= core.last and n.own > 0), core.last)
+        for n in listed:
+            if first < n.index <= core.last:
+                _mark(nodes, n, False)
     path = []
     n = best
     while n is not None and n is not body:
