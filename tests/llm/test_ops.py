@@ -157,6 +157,39 @@ def test_link_lists(page, text):
     assert html_extract.main_text(page) == text
 
 
+LONG = "A paragraph of the article that has a good many words in it, as articles do, so that it is dense."
+
+
+@pytest.mark.parametrize(
+    "tag, name, stays",
+    [
+        ("h2", "class='section-header'", True),
+        ("h2", "class='header'", True),
+        ("p", "class='notice'", True),
+        ("div", "class='share-price'", True),
+        ("section", "id='related-work'", True),
+        ("p", "class='ad-hoc'", True),
+        ("td", "class='social'", True),
+        ("div", "class='comment'", True),
+        ("div", "class='wide relatedPosts'", False),
+    ],
+)
+def test_class_words(tag, name, stays):
+    inner = LONG if stays else "<a>A post</a> <a>And one more</a>"
+    part = f"<{tag} {name}>{inner}</{tag}>"
+    part = f"<table><tr>{part}</table>" if tag == "td" else part
+    lines = [LONG, LONG, LONG] if stays else [LONG, LONG]
+    assert html_extract.main_text(f"<body><article><p>{LONG}</p>{part}<p>{LONG}</p></article></body>") == "\n".join(lines)
+
+
+@pytest.mark.parametrize("name", ["share-price", "related-work", "ad-hoc", "section-header"])
+def test_class_words_outside_articles(name):
+    page = lambda c: f"<body><div><div><p>{LONG}</p></div><div class='{c}'><p>{LONG}</p></div></div></body>"
+    assert html_extract.main_text(page(name)) == f"{LONG}\n{LONG}"
+    for other in ("ad", "site-header", "relatedPosts", "ad_box-2", "comments x"):
+        assert html_extract.main_text(page(other)) == LONG
+
+
 def test_page_columns(spark):
     d = spark.createDataFrame([(1, "u", "<p>é", "old"), (1, "u", "<p>é", "old"), (2, None, None, None)], "page_id int, url string, html string, text string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_extract.extract_text(d).collect()) == [(1, "é", 1), (1, "é", 1), (2, "", 0)]

@@ -30,13 +30,24 @@ RAW = frozenset("script style textarea title noscript template iframe xmp noembe
 #: Elements that are never part of an article.
 NOT_ARTICLE = frozenset("nav aside footer form button select dialog menu search head object canvas audio video".split())
 NOT_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words in a class or id that tell a part beside the article.
+#: Words of a class or id that tell a part beside the article, alone or with the words below around them.
 BESIDE = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer discussion disqus "
     "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related "
     "replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
 WITHIN = frozenset("article content main post entry story body text page wrapper container layout".split())
+#: What stands before and after such a word in compounds (site-header, ad-box, comment-list).
+SIDES = frozenset("bottom global left mobile primary right secondary site sticky sub the top".split())
+PARTS = frozenset(
+    "area bar block bottom box button buttons column container count form group holder icon icons inner item items left link links list message modules "
+    "outer panel post posts right row section slot tag top unit wrap wrapper zone".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: For these, as for all within an article, a class or id is a hint only.
+TEXT_TAGS = HEADINGS | frozenset("p li dt dd td th".split())
+#: The part of an article's density below which what is hinted to be beside it is out.
+SPARSE = 0.25
 #: A paragraph is closed by these.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<![\w-])(hidden)(?![\w-])", re.S)
@@ -47,27 +58,40 @@ _STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "out", "soft", "chars", "tags", "link_chars", "link_tags", "children", "last", "index", "holds_article", "own", "always")
+    __slots__ = ("tag", "parent", "out", "soft", "chars", "tags", "link_chars", "link_tags", "children", "last", "index", "holds_article", "own", "always", "hint")
 
     def __init__(self, tag: str, parent: _Node | None, index: int, out: bool, soft: bool):
         self.tag, self.parent, self.index, self.last = tag, parent, index, index
         self.out, self.soft = out, soft  # left out for certain; left out unless it holds the article
         self.chars = self.tags = self.link_chars = self.link_tags = self.own = 0
         self.children: list[_Node] = []
-        self.holds_article = self.always = False
+        self.holds_article = self.always = self.hint = False
+
+
+def _beside(value: str) -> bool:
+    """Whether one of the names in a class or id is a word of BESIDE as a whole, or a compound of such words with SIDES and PARTS."""
+    for name in value.split():
+        words = [w.lower() for w in _NAME.findall(name)]
+        while words and words[0] in SIDES:
+            words.pop(0)
+        while words and words[-1] in PARTS:
+            words.pop()
+        if words and all(w in BESIDE for w in words):
+            return True
+    return False
 
 
-def _kind(tag: str, attributes: str, parent: _Node) -> tuple[bool, bool]:
-    """Whether an element is out by what it is, and by what its class says."""
+def _kind(tag: str, attributes: str, parent: _Node) -> tuple[bool, bool, bool]:
+    """Whether an element is out by what it is, out by what its class says, and perhaps out by its class."""
     if tag in NOT_ARTICLE:
-        return True, False
+        return True, False, False
     inside = parent
     if tag == "header":
         while inside is not None and inside.tag not in ("article", "main"):
             inside = inside.parent
-        return inside is None, False
+        return inside is None, False, False
     if not attributes or attributes.isspace():
-        return False, False
+        return False, False, False
     out = soft = False
     for m in _ATTRIBUTE.finditer(attributes):
         name = (m[1] or m[5] or "").lower()
@@ -78,9 +102,14 @@ def _kind(tag: str, attributes: str, parent: _Node) -> tuple[bool, bool]:
             out = True
         elif name in ("class", "id") and tag not in ("html", "body", "article", "main"):
             words = {w.lower() for w in _NAME.findall(value)}
-            if words & BESIDE and (not words & WITHIN or words & {"comment", "comments", "commentlist"}):
+            if _beside(value) and (not words & WITHIN or words & {"comment", "comments", "commentlist"}):
                 soft = True
-    return out, soft
+    if soft:
+        while inside is not None and inside.tag not in ("article", "main"):
+            inside = inside.parent
+        if inside is not None or tag in TEXT_TAGS:
+            return out, False, tag not in HEADINGS
+    return out, soft, False
 
 
 def _density(n: _Node, body: _Node) -> float:
@@ -128,6 +157,26 @@ def _link_lists(nodes: list[_Node], inside: list[_Node]) -> list[_Node]:
     return listed
 
 
+def _hinted(nodes: list[_Node], inside: list[_Node], body: _Node) -> None:
+    """Mark as out what has a class as of a part beside the article and is mostly links, or, if it is no text element, far sparser than the article or main it is in."""
+    gone = []
+    for n in reversed(inside):
+        if not n.hint or n.holds_article:
+            continue
+        if n.link_chars <= 0.6 * n.chars:
+            up = n.parent
+            while up is not None and up.tag not in ("article", "main"):
+                up = up.parent
+            if n.tag in TEXT_TAGS or up is None or _density(n, body) >= SPARSE * _density(up, body):
+                continue
+        gone.append(n)
+    for n in gone:
+        if not any(n is not g and g.index <= n.index <= g.last for g in gone):
+            _subtract(n)
+        for k in range(n.index, n.last + 1):
+            nodes[k].out = True
+
+
 def _subtract(n: _Node) -> None:
     """Take an element from the counts of all that hold it."""
     up = n.parent
@@ -241,8 +290,9 @@ def main_text(html: str | None) -> str:
         if tag in VOID:
             continue
         up = stack[-1]
-        out, soft = _kind(tag, m[3], up)
+        out, soft, hint = _kind(tag, m[3], up)
         node = _Node(tag, up, len(nodes), up.out or out, soft)
+        node.hint = hint
         nodes.append(node)
         stack.append(node)
     close(1)
@@ -253,6 +303,8 @@ def main_text(html: str | None) -> str:
             n.out = True
     body = next((n for n in nodes if n.tag == "body"), root)
     inside = [n for n in nodes if not n.out]
+    _hinted(nodes, inside, body)
+    inside = [n for n in inside if not n.out]
     listed = _link_lists(nodes, inside)
     inside = [n for n in inside if not n.out]
     density = {n.index: _density(n, body) for n in inside}
