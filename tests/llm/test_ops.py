@@ -259,6 +259,16 @@ def test_near_duplicates(docs, spark, sf):
         assert got == {i: find(i) for i in words}
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(2)  # the digest of the first text is the greater
+    base, other, third = ([f"{c}{rng.randrange(900)}" for _ in range(120)] for c in "bao")
+    near = lambda w, k: " ".join(w[:k] + ["new"] + w[k + 1 :])
+    texts = [(1, " ".join(other)), (1, " ".join(base)), (2, near(base, 60)), (3, near(other, 60)), (4, None), (4, " ".join(third)), (5, near(third, 30))]
+    expected = {1: 1, 2: 2, 3: 1, 4: 4, 5: 4}  # of id 1 the text in a counts, as it is the first
+    got = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    assert "n_links" not in got.columns and {r.doc_id: r.class_id for r in got.collect()} == expected
+
+
 def test_alignment():
     a = [b"%d" % i for i in range(100)]
     assert near_dedup.aligned_similarity(a, a) == 1
