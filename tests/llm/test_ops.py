@@ -239,6 +239,17 @@ def test_substrings_of_hot_leads(spark, monkeypatch):
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == expected
 
 
+def test_shared_reach():
+    assert suffix_dedup.shared_reach(np.zeros(3, np.int64), [b"x" + bytes(5), b"x", b"x" + bytes(5)], 8).tolist() == [6, 1, 6]
+    rng = random.Random(9)
+    common = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+    for _ in range(200):
+        sides = [bytes(rng.choice((0, 0, 0, 1)) for _ in range(rng.randrange(7))) for _ in range(rng.randrange(1, 12))]
+        leads = np.array([rng.randrange(2) for _ in sides], np.int64)
+        expected = [max((common(a, b) for j, b in enumerate(sides) if j != i and leads[i] == leads[j]), default=0) for i, a in enumerate(sides)]
+        assert suffix_dedup.shared_reach(leads, sides, 6).tolist() == expected
+
+
 def test_near_duplicates(docs, spark, sf):
     for d in (docs, spark.read.parquet(f"{sf}/documents.parquet")):
         words = {r.doc_id: near_dedup.normal_words(r.text) for r in d.collect()}

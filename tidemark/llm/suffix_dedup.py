@@ -160,7 +160,8 @@ def shared_reach(leads_of: np.ndarray, sides: list[bytes], width: int) -> np.nda
     room = np.array([len(x) for x in sides], np.int64)
     flat = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in sides), np.uint8).reshape(n, width)
     key = np.concatenate([leads_of.astype(">i8").view(np.uint8).reshape(n, 8), flat], axis=1)
-    order = np.argsort(np.ascontiguousarray(key).view(f"S{8 + width}").ravel(), kind="stable")
+    by_room = np.argsort(room, kind="stable")  # of sides that NULs make equal the shorter comes first, as an end is below every byte
+    order = by_room[np.argsort(np.ascontiguousarray(key[by_room]).view(f"S{8 + width}").ravel(), kind="stable")]
     rows = flat[order]
     same = rows[1:] == rows[:-1]
     met = np.where(same.all(axis=1), width, same.argmin(axis=1))
