@@ -250,24 +250,84 @@ def test_shared_reach():
         assert suffix_dedup.shared_reach(leads, sides, 6).tolist() == expected
 
 
+def words_in_common(x, y):
+    """Length of the longest common subsequence, cell by cell."""
+    row = [0] * (len(y) + 1)
+    for a in x:
+        last = 0
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], max(row[j], row[j - 1], last + (a == b))
+    return row[-1]
+
+
+def similar_pairs(texts, least=0.8):
+    """Pairs of different texts by brute force, with words cut by another rule of the same meaning."""
+    words = {i: re.findall(r"[^\x00-\x20]+", t.lower()) for i, t in texts.items() if t}
+    bags = {i: Counter(w) for i, w in words.items() if w}
+    out = {}
+    ids = sorted(bags)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            most = max(len(words[a]), len(words[b]))
+            if words[a] != words[b] and (bags[a] & bags[b]).total() >= least * most - 1e-9:
+                s = words_in_common(words[a], words[b]) / most
+                if s >= least - 1e-9:
+                    out[a, b] = s
+    return words, out
+
+
+def check_classes(texts, got, recall):
+    words, pairs = similar_pairs(texts)
+    label = {i: i for i in texts}
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    first = {}
+    for a, b in [*((first.setdefault(tuple(w), i), i) for i, w in sorted(words.items()) if w), *pairs]:
+        x, y = find(a), find(b)
+        label[max(x, y)] = min(x, y)
+    for i, c in got.items():  # nothing is joined that similar pairs do not connect, and a class is named by its least id
+        assert find(c) == find(i) and got[c] == c and c <= i
+    assert sum(got[a] == got[b] for a, b in pairs) >= recall * len(pairs)
+    for w in set(map(tuple, words.values())):
+        assert len({got[i] for i in words if tuple(words[i]) == w}) == 1
+    return len(pairs)
+
+
 def test_near_duplicates(docs, spark, sf):
-    for d in (docs, spark.read.parquet(f"{sf}/documents.parquet")):
-        words = {r.doc_id: near_dedup.normal_words(r.text) for r in d.collect()}
-        ids = sorted(i for i in words if words[i])
-        label = {i: i for i in words}
-
-        def find(i, label=label):
-            while label[i] != i:
-                i = label[i]
-            return i
-
-        for n, a in enumerate(ids):
-            for b in ids[n + 1 :]:
-                if near_dedup.aligned_similarity(words[a], words[b]) >= 0.8:
-                    x, y = find(a), find(b)
-                    label[max(x, y)] = min(x, y)
+    for d, recall in ((docs, 1), (spark.read.parquet(f"{sf}/documents.parquet"), 0.9)):
+        texts = _texts(d)
         got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(d).collect()}
-        assert got == {i: find(i) for i in words}
+        assert set(got) == set(texts) and check_classes(texts, got, recall)
+
+
+def test_near_duplicates_around_a_common_passage(spark):
+    """Buckets of more than COLD texts: a passage that all share, near copies among them, and copies of a copy."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(5000)}"
+    passage = [word() for _ in range(60)]
+    texts = []
+    for _ in range(120):
+        own = [word() for _ in range(rng.randrange(40, 60))]
+        texts.append(own[:20] + passage + own[20:])
+    for t in texts[:40]:
+        near = list(t)
+        for _ in range(4):
+            near[rng.randrange(len(near))] = word()
+        texts.append(near)
+    texts = {i: " ".join(t) for i, t in enumerate(texts)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(d).collect()}
+    assert check_classes(texts, got, 0.95) >= 40 and max(Counter(got.values()).values()) < 5
+
+
+def test_near_duplicates_of_odd_ids(spark):
+    texts = [("b", "one two three four five six seven eight nine ten"), ("a", "One two  three four five six seven eight nine ten"), (None, "one two three four five six seven eight nine ten"), ("c", "x")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(texts, "key string, body string"), id_column="key", text="body").collect()
+    assert {r.key: (r.class_id, r.copy_of) for r in got} == {"a": ("a", "a"), "b": ("a", "a"), "c": ("c", "c")}
 
 
 def test_near_duplicates_of_repeated_ids(spark):
@@ -283,10 +343,15 @@ def test_near_duplicates_of_repeated_ids(spark):
 def test_alignment():
     a = [b"%d" % i for i in range(100)]
     assert near_dedup.aligned_similarity(a, a) == 1
-    b = a[:50] + [b"new"] + a[51:]
-    assert near_dedup.aligned_similarity(a, b) == pytest.approx(91 / (96 + 96 - 91))
-    assert near_dedup.aligned_similarity(a, a[50:] + a[:50]) == 0 or near_dedup.aligned_similarity(a, a[50:] + a[:50]) < 0.8
-    assert near_dedup.aligned_similarity([b"x"], [b"y"]) == 0
+    assert near_dedup.aligned_similarity(a, a[:50] + [b"new"] + a[51:]) == pytest.approx(0.99)
+    assert near_dedup.aligned_similarity(a, a[50:] + a[:50]) == 0
+    assert near_dedup.aligned_similarity([b"x"], [b"y"]) == 0 and near_dedup.aligned_similarity([], []) == 0
+    rng = random.Random(8)
+    for _ in range(300):
+        x = [rng.choice((b"p", b"q", b"r")) for _ in range(rng.randrange(1, 25))]
+        y = [w for w in x if rng.random() > 0.1] + [b"z"] * rng.randrange(3)
+        s = words_in_common(x, y) / max(len(x), len(y))
+        assert near_dedup.aligned_similarity(x, y) == pytest.approx(s if s >= 0.8 - 1e-9 else 0)
 
 
 def test_top_k(spark):
