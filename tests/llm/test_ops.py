@@ -190,6 +190,93 @@ def test_class_words_outside_articles(name):
         assert html_extract.main_text(page(other)) == LONG
 
 
+def made_pages(n=40):
+    """Well-formed pages whose article no name gives away: it stands among menus, short facts and a dense line or two, at any depth."""
+    rng = random.Random(17)
+    say = lambda k: " ".join(rng.choice(("salt", "harbour", "of", "winter", "a", "letters", "the", "grey", "engine")) for _ in range(k))
+    for _ in range(n):
+        menu = "<ul>" + "".join(f"<li><a href='/{k}'>{say(2)}</a></li>" for k in range(rng.randrange(4, 15))) + "</ul>"
+        facts = "<div>" + "".join(f"<div><b>{say(1)}</b> <b>{say(1)}</b></div>" for _ in range(rng.randrange(14, 25))) + "</div>"
+        text = "".join(f"<p>{say(rng.randrange(30, 80))} <b>{say(2)}</b> {say(20)} <a href='/x'>{say(1)}</a></p>" for _ in range(rng.randrange(4, 10)))
+        parts = [menu, facts, f"<section>{text}</section>", f"<table><tr><td>{say(9)}</td></tr></table>"]
+        rng.shuffle(parts)
+        html = "".join(parts)
+        for _ in range(rng.randrange(3)):
+            html = f"<div>{menu if rng.random() < 0.5 else ''}{html}</div>"
+        yield f"<html><body>{html}</body></html>", text
+
+
+def naive_choice(html):
+    """The element of the greatest sum of child densities, recomputed from the definition by recursion."""
+    import math
+    import xml.etree.ElementTree as E
+
+    def counts(e, linked=False):
+        linked |= e.tag == "a"
+        own = [e.text or "", *(c.tail or "" for c in e)]
+        n = sum(len(t) for t in own if t.strip())
+        c, t, lc, lt = n, 0, n if linked else 0, 0
+        for x in e:
+            xc, xt, xlc, xlt = counts(x, linked)
+            c, t, lc, lt = c + xc, t + xt + 1, lc + xlc, lt + xlt + (linked or x.tag == "a")
+        return c, t, lc, lt
+
+    body = E.fromstring(html).find("body")
+    bc, _, blc, _ = counts(body)
+
+    def density(c, t, lc, lt):
+        if not c:
+            return 0.0
+        base = lc * c / max(1, c - lc) + blc / bc * c + math.e
+        return c / max(1, t) * math.log(max(1, c / max(1, lc) * max(1, t) / max(1, lt))) / max(0.1, math.log(math.log(base)))
+
+    inline = ("a", "b")
+    best = (-1.0, None)
+    for e in body.iter():
+        if e.tag in inline:
+            continue
+        own = E.Element("x")
+        own.text, own[:] = e.text, [x for x in e if x.tag in inline]
+        total = density(*counts(own)) + sum(density(*counts(x)) for x in e if x.tag not in inline)
+        if total > best[0] + 1e-6:
+            best = (total, e)
+    return best[1]
+
+
+def test_density_decides():
+    changed = 0
+    for html, text in made_pages():
+        expected = [" ".join(x.split()) for x in re.sub(r"<[^p/][^>]*>|</[^p>]*>", "", text).replace("<p>", "").split("</p>") if x]
+        got = html_extract.main_text(html)
+        assert got.split("\n") == expected
+        lines = [" ".join("".join(x.itertext()).split()) for x in naive_choice(html)]
+        assert lines == expected
+        changed += html_extract.main_text(html, lambda *counts: 1.0) != got
+    assert changed >= 30
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>", "<b>", "<li>", "<a href='x", '<p class="x', "<!--", "<script>", "<table><td>", "</p><div>", "<b><hr>", "&#", "<", "<div class=ad>x", "<p hidden "])
+def test_broken_pages_take_linear_time(piece):
+    import time
+
+    start = time.process_time()
+    html_extract.main_text(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - start < 20  # a quadratic reading takes hours
+
+
+def test_quotes_in_tags():
+    assert html_extract.main_text("<p class=it's>Hello world\nSecond") == "Hello world Second"
+    assert html_extract.main_text("<p title='a > b' x=\"'\">one</p><p y='>two") == "one\ntwo"
+    assert html_extract.main_text("<p>1 < 2 <!-- <p>no --> and <!doctype x> 3 </ 4><?x?></p>") == "1 < 2 and 3"
+
+
+def test_blocks_beside_the_article():
+    article = f"<article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article>"
+    for other in ("<div>Buy the new kettle today, it is good.</div>", "<div class=author-box><p>Ann writes.</p></div>", "<div class=related-content><ul><li><a href=/1>One more</a><li><a href=/2>And another</a><li><a href=/3>A third</a></ul></div>"):
+        for page in (f"<main>{other}{article}</main>", f"<main>{article}{other}</main>", f"<div>{article}{other}</div>"):
+            assert html_extract.main_text(f"<body>{page}</body>") == "\n".join([LONG] * 3)
+
+
 def test_page_columns(spark):
     d = spark.createDataFrame([(1, "u", "<p>é", "old"), (1, "u", "<p>é", "old"), (2, None, None, None)], "page_id int, url string, html string, text string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_extract.extract_text(d).collect()) == [(1, "é", 1), (1, "é", 1), (2, "", 0)]
