@@ -123,6 +123,40 @@ def test_license_labels(spark):
     assert got == {1: "mit", 2: "apache-2.0", 3: "", 4: "cc-by", 5: "gpl"}
 
 
+def test_licenses_against_all_starts(spark, sf):
+    """Labels and scores of every template tried at every start, weights counted anew."""
+    import math
+
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower))
+    rng = random.Random(21)
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    for k, (_, text, _) in enumerate(license_scan.TEMPLATES):  # whole, with words lost or changed, cut off, and amid other text
+        words = text.split()
+        broken = [w if rng.random() > 0.04 else "changed" for w in words]
+        texts += [(-5 * k - 1, text), (-5 * k - 2, " ".join(broken)), (-5 * k - 3, " ".join(words[: len(words) * 2 // 3])), (-5 * k - 4, " ".join(words[1:])), (-5 * k - 5, f"mit license, all of it. {text} {text}")]
+    d = spark.createDataFrame(texts, "doc_id bigint, text string")
+    words = {i: cut(t) for i, t in texts}
+    df = Counter(w for ws in words.values() for w in set(ws))
+    weight = lambda w: math.log((1 + len(texts)) / (1 + df[w])) + 1e-3
+    seen = set()
+    for r in license_scan.scan_licenses(d).collect():
+        ws, labels, score = words[r.doc_id], set(r.base_labels.split(",")) - {""}, 1.0 if r.base_labels else 0.0
+        for label, text, phrases in license_scan.TEMPLATES:
+            template = cut(text)
+            keys = [(next(i for i in range(len(template)) if template[i : i + len(p)] == p), p) for p in map(cut, phrases)]
+            for start in range(-len(template), len(ws)):
+                if all(start + p >= 0 and ws[start + p : start + p + len(x)] == x for p, x in keys):
+                    there = sum(weight(w) for k, w in enumerate(template) if 0 <= start + k < len(ws) and ws[start + k] == w)
+                    cover = min(1.0, there / sum(map(weight, template)))
+                    if cover >= license_scan.MIN_COVER:
+                        labels.add(label)
+                        score = max(score, cover)
+        assert (r.labels, r.score) == (",".join(sorted(labels)), pytest.approx(score))
+        seen |= labels
+    assert seen == {label for label, _, _ in license_scan.TEMPLATES} | set(license_scan.BASE_PHRASES.values())
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
