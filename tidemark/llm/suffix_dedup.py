@@ -21,12 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, StructType
 
 from .common import Stash, map_arrow
 from .induced_sort import sort_suffixes
 
 LENGTH = 200
+MADE = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 #: Symbols sorted as one shard; a worker needs about 60 bytes for each at once.
 SHARD_SYMBOLS = 2_000_000
 #: Leads with more different contexts than this are cut further, by where in the string the lead stands.
@@ -224,12 +225,10 @@ def sort_shards(contexts: DataFrame, length: int) -> DataFrame:
     return map_arrow(contexts, run, "id long, start long, end long")
 
 
-def remove_bytes(docs: DataFrame, spans: DataFrame, length: int, with_text: bool) -> DataFrame:
-    """``docs`` (id, text, others) less the bytes of ``spans`` (id, start, end)."""
-    per = spans.groupBy(F.col("id").alias("__i")).agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))).alias("__spans"))
-    d = docs.join(per, docs["id"] == per["__i"], "left").drop("__i")
-    others = [c for c in docs.columns if c not in ("id", "text")]
-    d = d.select("id", "text", "__spans", *others)
+def remove_bytes(docs: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
+    """``docs`` (row, text, rest) less the bytes of ``spans`` (id, start, end): rest, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, left."""
+    per = spans.groupBy(F.col("id").alias("row")).agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))).alias("spans"))
+    d = docs.join(per, "row", "left").select("rest", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,23 +254,20 @@ def remove_bytes(docs: DataFrame, spans: DataFrame, length: int, with_text: bool
                 if with_text:
                     texts.append(t if not gone else left.decode("utf-8", "ignore"))
             more = [pa.array(x, pa.int64()) for x in (sizes, removed, runs)] + [pa.array(digests, pa.string())]
-            names = ["id", *others, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
                 more.append(pa.array(texts, pa.string()))
-                names.append("text")
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:], *more], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *more], names=["rest", *MADE, "left"][: 1 + len(more)])
 
-    schema = StructType([f for f in d.schema.fields if f.name not in ("text", "__spans")])
-    for c in ("n_bytes", "n_removed", "n_spans"):
+    schema = StructType([d.schema["rest"]])
+    for c in MADE[:-1]:
         schema = schema.add(c, "long")
-    schema = schema.add("kept_sha256", "string")
-    return map_arrow(d, run, schema.add("text", "string") if with_text else schema)
+    schema = schema.add(MADE[-1], "string")
+    return map_arrow(d, run, schema.add("left", "string") if with_text else schema)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int, stash: Stash) -> DataFrame:
     """``id, start, end`` (bytes): spans, which may overlap, whose strings of ``length`` bytes also start elsewhere. ``docs``: id, text."""
-    stash = Stash(docs.sparkSession, "suffix")
-    found = stash.save(find_leads(docs.where("id is not null"), length), "leads")
+    found = stash.save(find_leads(docs, length), "leads")
     shared = found.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("lead")
     again = stash.save(found.join(shared, "lead"), "shared")
     stash.drop("leads")
@@ -299,19 +295,37 @@ def _hot_spans(contexts: DataFrame, length: int) -> DataFrame:
     return each.where("times = 1").join(often, "string").select("id", "start", (F.col("start") + length).alias("end"))
 
 
+def with_rows(docs: DataFrame, id_column: str, stash: Stash) -> DataFrame:
+    """``docs`` (as ``rest``, text) with a number of its own for each row, ``row``.
+
+    Ids that are whole numbers, none null and none repeated, serve as they are. Others, of any type, are
+    numbered, and the numbered table is written first, so that a task done again gives no other numbers.
+    """
+    fields = docs.schema["rest"].dataType
+    key = F.col("rest")[id_column]
+    kind = fields[id_column].dataType
+    if isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
+        ids = docs.select(key.cast("long").alias("k"))
+        if ids.groupBy("k").count().where("count > 1 or k is null").isEmpty():
+            return docs.withColumn("row", key.cast("long"))
+    return stash.save(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """``docs`` with ``n_bytes, n_removed, n_spans, kept_sha256`` and, unless ``with_text`` is off, the text that is left.
 
     Texts are UTF-8 bytes; matches never cross texts; strings are judged on the input. Where a cut
     falls inside a character, what is left of the character goes from the returned text too (the
-    digest is over the bytes). A null text is empty; so is what is left of it, null. Ids must be
-    unique and not null. An empty table gives an empty one; columns of the made names are replaced.
+    digest is over the bytes). A null text is empty; so is what is left of it, null. Each row is a text
+    of its own, whatever its id: ids may be null, repeated, or of any type, and repeated rows match each
+    other. An empty table gives an empty one; columns of the made names are replaced, all others stay.
     """
-    made = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    names = [c for c in docs.columns if c not in made]
-    d = docs.drop(*made).withColumnRenamed(text, "text").withColumnRenamed(id_column, "id")
-    spans = repeated_spans(d.select(F.col("id").cast("long").alias("id"), "text"), length)
-    out = remove_bytes(d, spans, length, with_text).withColumnRenamed("id", id_column)
-    if with_text:
-        return out.withColumnRenamed("text", text).select(*names, *made)
-    return out.select(*[c for c in names if c != text], *made)
+    names = [c for c in docs.columns if c not in MADE]
+    kept = [c for c in names if c != text]
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept], F.lit(0).alias("__some")).alias("rest"), F.col(f"`{text}`").alias("text"))
+    stash = Stash(docs.sparkSession, "suffix")
+    d = with_rows(d, id_column, stash)
+    spans = repeated_spans(d.select(F.col("row").alias("id"), "text"), length, stash)
+    out = remove_bytes(d, spans, with_text)
+    columns = [F.col("left").alias(c) if c == text else F.col("rest")[c].alias(c) for c in (names if with_text else kept)]
+    return out.select(*columns, *MADE)
