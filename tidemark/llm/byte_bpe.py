@@ -5,8 +5,9 @@ Where matches begin is decided by a small automaton. Each class is a transition
 function over its states; functions compose associatively, so a blocked scan
 over whole batches gives the state at every character, without regex and without
 a loop over characters. The slices between boundaries feed pair merging by rank,
-whose results are cached; offsets of ids and bytes stay with each document, so
-decoding needs the ids alone.
+whose results are cached. Each id keeps the byte offset at which it starts in the text;
+decoding copies the bytes of all ids to their offsets at once, and a range of ids can be
+decoded without the rest.
 """
 
 from __future__ import annotations
@@ -166,6 +167,9 @@ class RankEncoder(dict):
         self.words: list[bytes] = [b""] * (max(self.rank.values()) + 1)
         for word, i in self.rank.items():
             self.words[i] = word
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.flat = np.frombuffer(b"".join(self.words), np.uint8)  # the bytes of id i are at flat[place[i]:place[i] + sizes[i]]
+        self.place = np.cumsum(self.sizes) - self.sizes
         self.packed = {word: i.to_bytes(4, "little") for word, i in self.rank.items()}
         self.by_id = {v: k for k, v in self.packed.items()}
         self.old: dict[str, bytes] = {}
@@ -247,10 +251,16 @@ class RankEncoder(dict):
             k = m
         return out
 
-    def decode(self, ids: bytes) -> bytes:
-        """The bytes that packed ids stand for."""
-        words = self.words
-        return b"".join([words[i] for i in np.frombuffer(ids, "<u4").tolist()])
+    def offsets(self, ids: bytes) -> np.ndarray:
+        """The byte at which each of packed ids starts, and the end of the last."""
+        return np.concatenate([np.zeros(1, np.int64), np.cumsum(self.sizes[np.frombuffer(ids, "<u4")])])
+
+    def decode(self, ids: bytes, offsets: np.ndarray | None = None) -> bytes:
+        """The bytes that packed ids stand for; ``offsets``: those of the ids, if they are known."""
+        at = self.offsets(ids) if offsets is None else offsets
+        which = np.frombuffer(ids, "<u4")
+        start = np.repeat(self.place[which] - (at[:-1] - at[0]), self.sizes[which])
+        return self.flat[start + np.arange(len(start))].tobytes()
 
 
 def boundaries_of(texts: list[str]) -> list[np.ndarray]:
@@ -269,8 +279,8 @@ def boundaries_of(texts: list[str]) -> list[np.ndarray]:
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
-    """Add ``ids`` (array of int), ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``; ``decoded_sha256`` is over
-    the bytes that come back from the ids alone.
+    """Add ``ids`` (array of int), ``offsets`` (array of int: the byte of the text at which each id starts), ``n_tokens``,
+    ``ids_sha256`` and ``decoded_sha256``, which is over the bytes that come back from the ids.
 
     A null or empty text has no ids. Repeated rows are encoded each. Columns of those
     names are replaced; all others stay. Memory: one batch and the cache.
@@ -279,12 +289,12 @@ def encode_documents(docs: DataFrame, ranks_path: str, text: str = "text") -> Da
 
 
 def encode_digests(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
-    """As ``encode_documents`` without the ids themselves, and without the text."""
+    """As ``encode_documents`` without the ids and offsets themselves, and without the text."""
     return _encoded(docs, ranks_path, text, False)
 
 
 def _encoded(docs: DataFrame, ranks_path: str, text: str, with_ids: bool) -> DataFrame:
-    made = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    made = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "offsets"]
     kept = docs.drop(*made).withColumn("__text", F.col(text))
     kept = kept if with_ids else kept.drop(text)
 
@@ -292,22 +302,25 @@ def _encoded(docs: DataFrame, ranks_path: str, text: str, with_ids: bool) -> Dat
         encoder = rank_encoder(ranks_path)
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index("__text")).to_pylist()]
-            counts, sums, backs, ids = [], [], [], []
+            counts, sums, backs, ids, places = [], [], [], [], []
             for packed in encoder.encode_batch(texts):
                 counts.append(len(packed) // 4)
                 sums.append(hashlib.sha256(packed).hexdigest())
-                backs.append(hashlib.sha256(encoder.decode(packed)).hexdigest())
+                at = encoder.offsets(packed)
+                backs.append(hashlib.sha256(encoder.decode(packed, at)).hexdigest())
                 if with_ids:
                     ids.append(packed)
+                    places.append(at[:-1].astype(np.int32))
             more = [pa.array(counts, pa.int64()), pa.array(sums), pa.array(backs)]
             if with_ids:
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                 more.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+                more.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *places]))))
             columns = [(f.name, c) for c, f in zip(batch.columns, batch.schema, strict=True) if f.name != "__text"]
             yield pa.RecordBatch.from_arrays([c for _, c in columns] + more, names=[n for n, _ in columns] + made[: len(more)])
 
     schema = kept.drop("__text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    return map_arrow(kept, run, schema.add("ids", ArrayType(IntegerType())) if with_ids else schema)
+    return map_arrow(kept, run, schema.add("ids", ArrayType(IntegerType())).add("offsets", ArrayType(IntegerType())) if with_ids else schema)
 
 
 _encoders: dict[str, RankEncoder] = {}

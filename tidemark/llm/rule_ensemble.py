@@ -22,13 +22,13 @@ FIT_ROWS = 20_000
 THRESHOLD = 0.7
 #: Statistics a score may use, as SQL over the measurements.
 FEATURES = {
-    "words": "least(n_words, 2000)",
+    "words": "n_words",
     "word_length": "word_chars / greatest(n_words, 1)",
     "symbol_rate": "n_symbols / greatest(n_words, 1)",
     "upper_rate": "n_upper / greatest(word_chars, 1)",
     "dup_line_rate": "n_dup_lines / greatest(n_lines, 1)",
     "repeat_rate": "n_repeat_words / greatest(n_words, 1)",
-    "words_per_line": "least(n_words / greatest(n_lines, 1), 500)",
+    "words_per_line": "n_words / greatest(n_lines, 1)",
 }
 NAMES = tuple(FEATURES)
 
@@ -140,10 +140,9 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, pen
 
 
 def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the statistics as ``__f_`` columns, all finite; a null or empty text has zeros."""
-    names = docs.columns
-    m = measure(docs.select("*"), text)
-    return m.select(*names, *[F.expr(f"cast({sql} as double)").alias(f"__f_{k}") for k, sql in FEATURES.items()])
+    """``docs`` as one column ``__row``, and the statistics of its texts as ``__f_`` columns, all finite; a null or empty text has zeros."""
+    m = measure(docs.select(F.struct("*").alias("__row"), F.col(text).alias("__text")), "__text")
+    return m.select("__row", *[F.expr(f"cast({sql} as double)").alias(f"__f_{k}") for k, sql in FEATURES.items()])
 
 
 def held_out(id_column: str = "doc_id") -> Column:
@@ -154,12 +153,15 @@ def held_out(id_column: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS) -> RuleEnsemble:
     """Learn from at most ``fit_rows`` labelled rows that are not held out. Only their statistics reach the driver.
 
-    Rows with a null label or id are left out. With no labels, or all alike, the ensemble is a constant.
+    Rows with a null label or id, or a null text, are left out; of different labels of one id the greatest counts.
+    Of more labelled ids those of the least hash are learned from; what is broadcast is at most ``fit_rows`` ids and
+    labels. With no labels, or all alike, the ensemble is a constant.
     """
-    chosen = labels.where(F.col(id_column).isNotNull() & F.col(label).isNotNull() & ~held_out(id_column)).groupBy(id_column).agg(F.max(label).alias("__y"))
-    chosen = chosen.orderBy(F.xxhash64(id_column), id_column).limit(fit_rows)
-    rows = with_features(docs.select(id_column, text).join(chosen, id_column).where(F.col(text).isNotNull()), text)
-    got = rows.select(id_column, "__y", *[f"__f_{k}" for k in NAMES]).orderBy(id_column).limit(2 * fit_rows).toPandas()
+    chosen = labels.where(F.col(id_column).isNotNull() & F.col(label).isNotNull() & ~held_out(id_column)).groupBy(F.col(id_column).alias("__id")).agg(F.max(label).alias("__y"))
+    chosen = F.broadcast(chosen.orderBy(F.xxhash64("__id"), "__id").limit(fit_rows))
+    known = docs.select(F.col(id_column).alias("__id"), F.col(text).alias("__text")).where("__text is not null").join(chosen, "__id")
+    rows = with_features(known, "__text").select("__row.__id", "__row.__y", *[f"__f_{k}" for k in NAMES])
+    got = rows.orderBy(F.xxhash64("__id"), "__id", *[f"__f_{k}" for k in NAMES]).limit(fit_rows).toPandas()
     x = got[[f"__f_{k}" for k in NAMES]].to_numpy(float)
     return fit_rules(x.reshape(len(got), len(NAMES)), got["__y"].to_numpy(float))
 
@@ -167,8 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
 def score(docs: DataFrame, model: RuleEnsemble, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Add ``score`` and ``predicted`` to ``docs``; columns of those names are replaced, all others stay.
 
-    Null and empty texts have statistics of zero and a score like any other.
+    Null and empty texts have statistics of zero and a score like any other. Repeated rows are scored each.
     """
-    d = with_features(docs.drop("score", "predicted"), text)
-    d = d.withColumn("score", once(model.column())).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
-    return d.drop(*[f"__f_{k}" for k in NAMES])
+    kept = docs.drop("score", "predicted")
+    d = with_features(kept, text).withColumn("score", once(model.column()))
+    return d.select(*[F.col("__row")[c].alias(c) for c in kept.columns], "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

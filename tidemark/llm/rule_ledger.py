@@ -66,8 +66,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Repeated windows of three words: windows are hashed; hash and place share one long, so
     that one primitive sort brings equal windows together. Those whose hash parts agree are
-    then compared word by word; if any two differ, that document alone is compared window
-    by window, so the count is exact.
+    then compared word by word; if any two differ, that document's windows alone are sorted
+    by their words, so the count is exact.
 
     A null or empty text has no words, lines or symbols: all measurements are 0.
     Repeated rows are measured each; columns with the names of measurements are replaced.
@@ -94,14 +94,13 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     d = d.withColumn("__c", F.expr("filter(__p, (x, j) -> (coalesce(get(__p, j - 1), ~x) & ~__m) = (x & ~__m) or (coalesce(get(__p, j + 1), ~x) & ~__m) = (x & ~__m))"))
     alike = " and ".join(f"get(__w, cast(x & __m as int) + {k}) = get(__w, cast(get(__c, j - 1) & __m as int) + {k})" for k in range(3))
     d = d.withColumn("__clash", F.expr(f"exists(transform(__c, (x, j) -> j > 0 and (get(__c, j - 1) & ~__m) = (x & ~__m) and not ({alike})), b -> b)"))
-    equal = " and ".join(f"get(__w, i + {k}) = get(__w, h + {k})" for k in range(3))
-    steps = "sequence(0, cast(n_words as int) - 3)"
-    d = d.withColumn(
-        "__s",
-        F.expr(f"if(__clash, filter({steps}, i -> exists({steps}, h -> h <> i and {equal})), transform(__c, x -> cast(x & __m as int)))"),
-    )
+    words = ", ".join(f"'w{k}', get(__w, i + {k})" for k in range(3))
+    d = d.withColumn("__z", F.expr(f"if(__clash, sort_array(transform(sequence(0, cast(n_words as int) - 3), i -> named_struct({words}, 'i', i))), array())"))
+    equal = lambda j: " and ".join(f"x.w{k} <=> get(__z, {j}).w{k}" for k in range(3))
+    exact = f"transform(filter(__z, (x, j) -> ({equal('j - 1')}) or ({equal('j + 1')})), x -> x.i)"
+    d = d.withColumn("__s", F.expr(f"if(__clash, {exact}, transform(__c, x -> cast(x & __m as int)))"))
     d = d.withColumn("n_repeat_words", F.expr("size(array_distinct(concat(__s, transform(__s, x -> x + 1), transform(__s, x -> x + 2))))").cast("long"))
-    return d.drop("__t", "__w", "__l", "__m", "__p", "__c", "__clash", "__s")
+    return d.drop("__t", "__w", "__l", "__m", "__p", "__c", "__clash", "__z", "__s")
 
 
 def build_ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:

@@ -73,21 +73,20 @@ def mix(
     """``docs`` with each row repeated by its Poisson count, in shuffled order, and
     ``copy_no`` (from 0), ``n_copies``, ``mix_rate`` and ``mix_key`` (order within the mixture).
 
-    Rows of one id get the same count. An empty table gives an empty table; columns of
-    those names are replaced. A hot source costs no more than its rows: its rate comes
+    Rows of one id get the same count, and so do all of a null id; ties of the key stay in one partition. An empty table gives an empty table; columns of
+    those names are replaced, all others stay. A hot source costs no more than its rows: its rate comes
     from sums made before the exchange, and copies are dealt by hash, not by source.
     """
-    d = docs.drop("copy_no", "n_copies", "mix_rate", "mix_key")
-    rates = source_rates(d, weights, epochs, source, text).select(F.col("source").alias("__s"), F.col("rate").alias("mix_rate"), "parts", "cdf")
+    kept = docs.drop("copy_no", "n_copies", "mix_rate", "mix_key")
+    rates = source_rates(kept, weights, epochs, source, text).select(F.col("source").alias("__source"), F.col("rate").alias("mix_rate"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
     if rates.count() <= MAX_BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    names = d.columns
-    d = d.withColumn("__s", F.coalesce(F.col(source), F.lit(""))).join(rates, "__s")
-    one = lambda k: F.size(F.filter("cdf", lambda c: c < uniform(seed, F.col(id_column), k))).cast("long")
-    n = F.aggregate(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int")), F.lit(0).cast("long"), lambda acc, k: acc + one(k))
+    d = kept.select(F.struct("*").alias("__row"), F.col(id_column).alias("__id"), F.coalesce(F.col(source), F.lit("")).alias("__source")).join(rates, "__source")
+    one = lambda k: F.size(F.filter("__cdf", lambda c: c < uniform(seed, F.col("__id"), k))).cast("long")
+    n = F.aggregate(F.sequence(F.lit(0), (F.col("__parts") - 1).cast("int")), F.lit(0).cast("long"), lambda acc, k: acc + one(k))
     d = d.withColumn("n_copies", F.when(F.col("mix_rate") > 0, n).otherwise(F.lit(0).cast("long"))).where("n_copies > 0")
-    d = d.select(*names, "mix_rate", "n_copies")
-    d = d.withColumn("copy_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
-    d = d.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed + "-order"), F.coalesce(F.col(id_column).cast("string"), F.lit("null")), F.col("copy_no").cast("string"))))
+    d = d.select("__row", "__id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)).alias("copy_no"), "n_copies", "mix_rate")
+    d = d.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed + "-order"), F.coalesce(F.col("__id").cast("string"), F.lit("null")), F.col("copy_no").cast("string"))))
     d = d.repartition(partitions, "mix_key") if partitions else d.repartition("mix_key")
-    return d.sortWithinPartitions("mix_key")
+    d = d.sortWithinPartitions("mix_key")
+    return d.select(*[F.col("__row")[c].alias(c) for c in kept.columns], "mix_rate", "n_copies", "copy_no", "mix_key")

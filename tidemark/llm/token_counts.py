@@ -26,6 +26,8 @@ from .common import map_arrow
 BLANK = "▁"
 #: Cuts whose counts are remembered by one worker, in each of two generations.
 CACHE_ENTRIES = 400_000
+#: Longer cuts are counted anew each time, so that the cache holds words, not lines of scripts without blanks.
+CACHED_LENGTH = 40
 #: Marks that often follow a word; they are counted apart where no piece holds the seam.
 MARKS = ".,;:!?*#$%&|)]}"
 TOKEN_LIMIT = 4096
@@ -72,10 +74,11 @@ class PieceCounter(dict):
                 n = self[stem] + self["\n" + cut[len(stem) :]]  # no merge crosses there
             else:
                 n = self.count_symbols(cut[1:] if cut[:1] == "\n" else BLANK + cut.replace(" ", BLANK))
-        if len(self) >= CACHE_ENTRIES:
-            self.old = dict(self)
-            self.clear()
-        self[cut] = n
+        if len(cut) <= CACHED_LENGTH:
+            if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
+                self.clear()
+            self[cut] = n
         return n
 
     def count_symbols(self, text: str) -> int:
