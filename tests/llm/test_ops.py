@@ -445,6 +445,18 @@ def test_near_duplicates_around_a_common_passage(spark):
     assert check_classes(texts, got, 0.95) >= 40 and max(Counter(got.values()).values()) < 5
 
 
+def test_components(spark):
+    from tidemark.llm.common import Stash
+    from tidemark.llm.components import components
+
+    rng = random.Random(5)
+    order = list(range(300, 420))
+    rng.shuffle(order)
+    links = [*((i, i + 1) for i in range(100)), *((200, 200 + i) for i in range(1, 60)), *zip(order, order[1:], strict=False), (7, 7), (50, 3)]
+    got = components(spark.createDataFrame(links, "a bigint, b bigint"), Stash(spark, "test"), "c").collect()
+    assert {r.id: r.label for r in got} == {**dict.fromkeys(range(101), 0), **dict.fromkeys(range(200, 260), 200), **dict.fromkeys(range(300, 420), 300)}
+
+
 def test_near_duplicates_of_odd_ids(spark):
     texts = [("b", "one two three four five six seven eight nine ten"), ("a", "One two  three four five six seven eight nine ten"), (None, "one two three four five six seven eight nine ten"), ("c", "x")]
     got = near_dedup.near_duplicates(spark.createDataFrame(texts, "key string, body string"), id_column="key", text="body").collect()
