@@ -122,3 +122,25 @@ def csv_quoted(text: Column) -> Column:
 
 def shell_quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
+def with_thousands(n: Column) -> Column:
+    """Digits in groups of three, with commas."""
+    return F.regexp_replace(n.cast("string"), r"(?<=\d)(?=(\d{3})+$)", ",")
+
+
+def shortened(text: Column, most: int) -> Column:
+    """At most so many characters, the last three of a longer text as dots."""
+    return F.when(F.char_length(text) <= most, text).otherwise(F.concat(F.substr(text, F.lit(1), F.lit(max(0, most - 3))), F.lit("...")))
+
+
+def rate(done: Column, seconds: Column) -> Column:
+    """Items a second; thousands as k."""
+    r = done.cast("double") / F.greatest(seconds.cast("double"), F.lit(0.001))
+    return F.when(r >= 1000, F.concat(F.format_string("%.1f", r / 1000), F.lit("k/s"))).otherwise(F.concat(F.bround(r, 0).cast("long").cast("string"), F.lit("/s")))
+
+
+def clock(seconds: Column) -> Column:
+    """Minutes and seconds, as 02:05."""
+    s = F.floor(seconds).cast("long")
+    return F.format_string("%02d:%02d", F.floor(s / 60).cast("long"), s % 60)

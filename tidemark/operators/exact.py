@@ -1,8 +1,8 @@
 """Exact duplicates: size, then content digest, then the choice of what to keep.
 
-Both tests are windows whose partition keys extend each other, so one exchange serves
-both, and the digest is computed for files of colliding size only. Ranking uses the same
-partitioning again.
+Sizes are counted on metadata alone. The digest is computed where the content is read, and
+the content goes no further: what is exchanged are paths, sizes and digests. Counting and
+ranking of a digest's members share one exchange.
 """
 
 from __future__ import annotations
@@ -12,35 +12,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import exprs as X
+from tidemark.operators.keepers import KeeperStrategy, PathKeeper
 
 EXACT = "EXACT_HASH"
 
 
 def size_collisions(files: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Files whose size another one has, with ``n_same_size``."""
-    return files.where("size_bytes > 0").withColumn("n_same_size", F.count(F.lit(1)).over(Window.partitionBy(*by, "size_bytes"))).where("n_same_size >= 2")
+    """Files whose size another one has, with ``n_same_size``. Sizes are counted before anything is exchanged."""
+    d = files.where("size_bytes > 0")
+    sizes = d.groupBy(*by, "size_bytes").agg(F.count(F.lit(1)).alias("n_same_size")).where("n_same_size >= 2")
+    return d.join(sizes, [*by, "size_bytes"])
 
 
 def quick_hash(content: str = "content", head: int = 4096):
     """Digest of the first bytes: the cheap tier of a three-stage funnel."""
-    return F.md5(F.substring(F.encode(F.col(content), "utf-8"), 1, head))
+    return F.md5(F.substring(F.col(content).cast("binary"), 1, head))
 
 
 def exact_members(files: DataFrame, by: tuple[str, ...] = (), funnel: bool = False) -> DataFrame:
-    """Files that another one equals, with ``digest`` and ``n_members``. ``funnel``: compare heads before whole contents."""
+    """Files that another one equals, with ``digest`` and ``n_members``. ``funnel``: heads are compared before whole contents."""
     keys = (*by, "size_bytes")
-    d = size_collisions(files, by)
+    d = files.where("size_bytes > 0")
     if funnel:
-        d = d.withColumn("head", quick_hash()).withColumn("n_head", F.count(F.lit(1)).over(Window.partitionBy(*keys, "head"))).where("n_head >= 2")
-        d = d.drop("n_head", "head")
-    d = d.withColumn("digest", F.sha2("content", 256)).drop("content", "n_same_size")
-    return d.withColumn("n_members", F.count(F.lit(1)).over(Window.partitionBy(*keys, "digest"))).where("n_members >= 2")
+        d = d.withColumn("head", quick_hash())
+        keys = (*keys, "head")
+    d = d.withColumn("digest", F.sha2("content", 256)).drop("content")
+    return d.withColumn("n_members", F.count(F.lit(1)).over(Window.partitionBy(*keys, "digest"))).where("n_members >= 2").drop("head")
 
 
-def ranked_members(members: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def ranked_members(members: DataFrame, by: tuple[str, ...] = (), keeper: KeeperStrategy | None = None) -> DataFrame:
     """Add ``score``, ``rank`` (1: to keep) and ``action``."""
-    w = Window.partitionBy(*by, "size_bytes", "digest").orderBy(F.desc("score"), X.path_order(F.col("path")))
-    d = members.withColumn("score", X.keeper_score(F.col("path"))).withColumn("rank", F.row_number().over(w))
+    keeper = keeper or PathKeeper()
+    w = Window.partitionBy(*by, "size_bytes", "digest").orderBy(F.desc("score"), *keeper.order())
+    d = members.withColumn("score", keeper.score()).withColumn("rank", F.row_number().over(w))
     return d.withColumn("action", F.when(F.col("rank") == 1, "KEEP").otherwise("DUPLICATE"))
 
 
@@ -59,9 +63,9 @@ def numbered_members(ranked: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return ranked.join(numbers, [*by, "size_bytes", "digest"])
 
 
-def duplicate_records(files: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def duplicate_records(files: DataFrame, by: tuple[str, ...] = (), keeper: KeeperStrategy | None = None) -> DataFrame:
     """One row a member of a cluster, in the layout of a duplicate record."""
-    d = numbered_members(ranked_members(exact_members(files, by), by), by)
+    d = numbered_members(ranked_members(exact_members(files, by), by, keeper), by)
     return d.select(
         *by, "group_id", F.lit(EXACT).alias("match_type"), "action", "category", F.lit("100%").alias("similarity"), F.lit(1.0).alias("similarity_score"),
         X.size_mb(F.col("size_bytes")).alias("size_mb"), "path", F.lit(None).cast("string").alias("dimensions"), "rank", "size_bytes",

@@ -8,11 +8,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.errors import ConfigError
+from tidemark.errors import EngineError, PluginError
 from tidemark.operators import exact
+from tidemark.operators.keepers import KeeperStrategy
+from tidemark.operators.models import backend
 from tidemark.schemas import RECORD
 
-BACKENDS = ("perceptual", "perceptual_hash", "blockhash")
+__all__ = ["ExactMatcher", "Matcher", "Pipeline", "VisionMatcher", "backend"]
 
 
 class Matcher(ABC):
@@ -25,8 +27,12 @@ class Matcher(ABC):
     def supported(self) -> Column:
         return F.lit(True)
 
+    def available(self) -> tuple[bool, str]:
+        """Whether the tier can run here, and why not."""
+        return True, "Ready"
+
     @abstractmethod
-    def records(self, files: DataFrame) -> DataFrame:
+    def records(self, files: DataFrame, keeper: KeeperStrategy | None = None) -> DataFrame:
         """Records with ``rank`` and ``size_bytes``; group ids from 1."""
 
 
@@ -36,8 +42,8 @@ class ExactMatcher(Matcher):
     def supported(self) -> Column:
         return F.col("size_bytes") > 0
 
-    def records(self, files: DataFrame) -> DataFrame:
-        return exact.duplicate_records(files)
+    def records(self, files: DataFrame, keeper: KeeperStrategy | None = None) -> DataFrame:
+        return exact.duplicate_records(files, keeper=keeper)
 
 
 class VisionMatcher(Matcher):
@@ -51,7 +57,7 @@ class VisionMatcher(Matcher):
     def supported(self) -> Column:
         return F.col("is_media")
 
-    def records(self, files: DataFrame) -> DataFrame:
+    def records(self, files: DataFrame, keeper: KeeperStrategy | None = None) -> DataFrame:
         return files.sparkSession.createDataFrame([], RECORD).withColumns({"rank": F.lit(0), "size_bytes": F.lit(0).cast("long")})
 
 
@@ -60,6 +66,7 @@ class Pipeline:
     """Runs matchers in order of priority; a file that one has matched is not shown to the next."""
 
     matchers: list[Matcher] = field(default_factory=list)
+    keeper: KeeperStrategy | None = None
 
     def register(self, matcher: Matcher) -> Pipeline:
         self.matchers = sorted([*self.matchers, matcher], key=lambda m: m.priority)
@@ -69,7 +76,14 @@ class Pipeline:
         out = None
         left = files
         for m in self.matchers:
-            found = m.records(left.where(m.supported()))
+            if not m.available()[0]:
+                continue
+            try:
+                found = m.records(left.where(m.supported()), self.keeper)
+            except EngineError:
+                raise
+            except Exception as e:
+                raise PluginError(m.name, str(e)) from e
             if out is None:
                 out = found
             else:
@@ -78,10 +92,3 @@ class Pipeline:
                 out = out.unionByName(moved.drop("j", "last"))
             left = exact.prune_matched(left, found)
         return out
-
-
-def backend(name: str) -> str:
-    """The signature backend of a name; ConfigError for one that there is not."""
-    if name.lower() in BACKENDS:
-        return "perceptual"
-    raise ConfigError(f"no signature backend is named {name!r}")

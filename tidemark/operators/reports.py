@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import os
 import shutil
+import uuid
+from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.errors import SecurityError
+from tidemark.errors import IoError, SecurityError
 from tidemark.functions import exprs as X
 
 BATCH = 150
 TRASH_DIR = ".tidemark_trash"
-#: Names in the CSV report.
+# Names, header and layout of the report are a format.
 CSV_NAMES = {"EXACT_HASH": "ExactHash", "VISUAL_AI_NEAR_DUPLICATE": "VisualAiNearDuplicate", "CONTENT_NEAR_DUPLICATE": "ContentNearDuplicate"}
 CSV_HEADER = "group_id,match_type,action,category,similarity,size_mb,path,dimensions"
 
@@ -33,10 +36,32 @@ def script_lines(records: DataFrame, mode: str = "trash") -> DataFrame:
     return records.where("action = 'DUPLICATE'").select("group_id", "rank", line.alias("line"))
 
 
+def script_head(mode: str = "trash", base: str = ".") -> str:
+    """What stands above the commands of a script."""
+    lines = ["#!/usr/bin/env bash", "set -euo pipefail"]
+    return "\n".join([*lines, f'TRASH_DIR="{base}/{TRASH_DIR}"', 'mkdir -p "$TRASH_DIR"'] if mode == "trash" else lines)
+
+
 def write_lines(lines: DataFrame, path: str, head: str = "") -> None:
-    """A report as text files in order."""
-    ordered = lines.orderBy("group_id", "rank").select("line")
-    (lines.sparkSession.createDataFrame([(head,)], "line string").unionByName(ordered) if head else ordered).write.mode("overwrite").text(path)
+    """A report as one text file: the head, then the lines by (group_id, rank). Sorted in parallel, joined by one task."""
+    spark = lines.sparkSession
+    d = lines.orderBy("group_id", "rank").select(F.col("line").alias("value")).coalesce(1)
+
+    def with_head(batches):
+        if head:
+            yield pa.RecordBatch.from_arrays([pa.array([head], pa.string())], names=["value"])
+        yield from batches
+
+    aside = f"{path}.{uuid.uuid4().hex}"
+    d.mapInArrow(with_head, "value string").write.text(aside)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder, target = jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    parts = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")]
+    fs.delete(target, True)
+    if not (fs.rename(parts[0], target) if parts else fs.createNewFile(target)):
+        raise IoError(f"{path} can't be written")
+    fs.delete(folder, True)
 
 
 def clean_targets(records: DataFrame, exact_only: bool = True) -> DataFrame:
@@ -109,13 +134,51 @@ def carry_out(plan: DataFrame, keepers: DataFrame) -> tuple[int, int]:
     return done, freed
 
 
-def trash_status(catalog: DataFrame) -> DataFrame:
-    """Files and bytes that stand directly in a trash folder."""
+def trash_status(catalog: DataFrame, folders: Iterable[str] = (TRASH_DIR,)) -> DataFrame:
+    """Files and bytes that stand directly in a folder of one of those names."""
     parent = F.expr("regexp_replace(path, '/[^/]*$', '')")
-    d = catalog.withColumn("dir", parent).where("dir like '%/trash' or dir like '%/.trash-1000'")
+    d = catalog.withColumn("dir", parent).where(F.element_at(F.split("dir", "/"), -1).isin(*folders))
     return d.agg(F.count(F.lit(1)).alias("items_count"), F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("long").alias("total_bytes"), F.countDistinct("dir").alias("trash_dirs"))
 
 
+def empty_trash(roots: Iterable[str]) -> tuple[int, int]:
+    """Delete the files that stand directly in the trash folder of each root, on this machine; how many, and their bytes. Folders in it stay."""
+    done = freed = 0
+    for folder in sorted({os.path.join(r, TRASH_DIR) for r in roots}):
+        if not os.path.isdir(folder):
+            continue
+        with os.scandir(folder) as entries:
+            for e in entries:
+                try:
+                    if e.is_file(follow_symlinks=False):
+                        size = e.stat(follow_symlinks=False).st_size
+                        os.remove(e.path)
+                        done, freed = done + 1, freed + size
+                except OSError:
+                    continue
+    return done, freed
+
+
+def ordered_groups(records: DataFrame) -> DataFrame:
+    """One row a group, in order, its members as a list: the kept one first, then by path."""
+    member = F.struct((F.col("action") != "KEEP").alias("later"), "path", "action", "size_mb")
+    d = records.groupBy("group_id", "match_type").agg(F.sort_array(F.collect_list(member)).alias("members"), F.count(F.lit(1)).alias("n_members"))
+    return d.orderBy("group_id")
+
+
+def sorted_table(records: DataFrame) -> DataFrame:
+    """Records with ``place`` in the order (size descending, name without case, path), from 1.
+
+    Places come from counts by size, so only one row a size meets in one task.
+    """
+    d = records.withColumn("name", F.lower(X.file_name(F.col("path"))))
+    sizes = d.groupBy("size_bytes").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy(F.desc("size_bytes")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("size_bytes", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    k = F.row_number().over(Window.partitionBy("size_bytes").orderBy("name", "path"))
+    return d.withColumn("k", k).join(sizes, "size_bytes").withColumn("place", F.col("first") + F.col("k")).drop("k", "first")
+
+
 def browse(catalog: DataFrame, parent: str, limit: int = 300) -> DataFrame:
     """Sub-folders of a folder, those that start with a dot left out, and whether they have sub-folders."""
     below = catalog.where(F.col("path").startswith(parent + "/")).select(F.split(F.substr("path", F.lit(len(parent) + 2)), "/").alias("p")).where("size(p) > 1")

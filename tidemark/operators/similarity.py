@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,33 +18,62 @@ def bits(vector: Column) -> Column:
     return F.aggregate(ones, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
-def _banded(sig: DataFrame, n_bands: int) -> DataFrame:
-    """Rows by band of their bits. Codes that differ in fewer than ``n_bands`` bits agree in a band."""
-    edges = [BITS * k // n_bands for k in range(n_bands + 1)]
-    parts = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("code", a).bitwiseAND(F.lit((1 << b - a) - 1).cast("long")).alias("part")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-    return sig.select("id", "code", F.explode(F.array(*parts)).alias("e")).select("id", "code", "e.*")
+def bands_for(n_codes: int, most: int) -> int:
+    """The number of bands that costs least: probes a code, and codes met a probe if they were spread evenly."""
 
+    def cost(m: int) -> float:
+        width = -(-BITS // m)
+        return m * sum(comb(width, r) for r in range(most // m + 1)) * (1 + n_codes / 2 ** (BITS // m))
 
-def hamming_pairs(sig: DataFrame, most: int) -> DataFrame:
-    """``a, b, distance`` of all pairs within ``most`` bits. ``sig``: id, code.
+    return min(range(2, BITS // 2 + 1), key=cost)
+
+
+def code_pairs(codes: DataFrame, most: int, n_bands: int | None = None) -> DataFrame:
+    """``x, y, distance`` of all pairs of different codes (x < y) within ``most`` bits. ``codes``: code, each once.
 
-    By pigeonhole codes within ``most`` bits agree in one of most + 1 bands, so an equi-join on
-    bands loses none; a pair is taken at its first common band only.
+    Cut into bands, two such codes differ in at most most // n_bands bits of some band. So each code is posted
+    under the values of its bands, and probes each band with all values within that many bits; a pair is taken
+    at the first band where it is met. How many bands are cut follows from the number of codes, see ``bands_for``.
     """
-    n_bands = min(most + 1, BITS // 2)
-    if most >= n_bands:
-        raise ValueError(f"at most {BITS // 2 - 1} bits are guaranteed by bands")
-    d = _banded(sig, n_bands)
-    a, b = d.alias("a"), d.alias("b")
+    n_bands = n_bands or bands_for(codes.count(), most)
     edges = [BITS * k // n_bands for k in range(n_bands + 1)]
-    x = F.col("a.code").bitwiseXOR(F.col("b.code"))
+    radius = most // n_bands
+    cut = lambda a, b: F.shiftrightunsigned("code", a).bitwiseAND(F.lit((1 << b - a) - 1).cast("long"))
+    entries = F.array(*[F.struct(F.lit(k).alias("band"), cut(a, b).alias("part")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
+    posted = codes.select(F.col("code").alias("y"), F.explode(entries).alias("e")).select("y", "e.*")
+    # values of as many bits as the widest band has, with at most radius bits set
+    width = max(b - a for a, b in zip(edges, edges[1:], strict=False))
+    flips = F.array(*[F.lit(sum(1 << i for i in bits)).cast("long") for r in range(radius + 1) for bits in combinations(range(width), r)])
+    probes = codes.select(F.col("code").alias("x"), F.explode(entries).alias("e")).select("x", "e.*").withColumn("flip", F.explode(flips))
+    probes = probes.select("x", "band", F.col("part").bitwiseXOR(F.col("flip")).alias("part"))
+    apart = F.col("x").bitwiseXOR(F.col("y"))
     first = F.lit(n_bands)
     for k in range(n_bands - 1, -1, -1):
         m = ((1 << edges[k + 1]) - 1) ^ ((1 << edges[k]) - 1)
         m = m - (1 << 64) if m >= 1 << 63 else m
-        first = F.when(x.bitwiseAND(F.lit(m).cast("long")) == 0, k).otherwise(first)
-    on = (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.id") < F.col("b.id")) & (F.bit_count(x) <= most) & (first == F.col("a.band"))
-    return a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.bit_count(x).cast("int").alias("distance"))
+        first = F.when(F.bit_count(apart.bitwiseAND(F.lit(m).cast("long"))) <= radius, k).otherwise(first)
+    p, q = probes.alias("p"), posted.alias("q")
+    on = (F.col("p.band") == F.col("q.band")) & (F.col("p.part") == F.col("q.part")) & (F.col("x") < F.col("y")) & (F.bit_count(apart) <= most) & (first == F.col("p.band"))
+    return p.join(q, on).select("x", "y", F.bit_count(apart).cast("int").alias("distance"))
+
+
+def hamming_pairs(sig: DataFrame, most: int) -> DataFrame:
+    """``a, b, distance`` of all pairs of ids within ``most`` bits. ``sig``: id, code. Codes are compared once each, however many ids have them."""
+    near = code_pairs(sig.select("code").distinct(), most)
+    equal = sig.select("code").distinct().select(F.col("code").alias("x"), F.col("code").alias("y"), F.lit(0).alias("distance"))
+    both = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"), "distance")).unionByName(equal)
+    a, b = sig.select(F.col("id").alias("a"), F.col("code").alias("x")), sig.select(F.col("id").alias("b"), F.col("code").alias("y"))
+    return both.join(a, "x").join(b, "y").where("a < b").select("a", "b", "distance")
+
+
+def hamming_clusters(sig: DataFrame, most: int) -> DataFrame:
+    """``id, label`` of single-link clusters of more than one id, without all pairs of equal codes: those join their code's least id."""
+    least = sig.groupBy("code").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    near = code_pairs(sig.select("code").distinct(), most)
+    x, y = least.select(F.col("code").alias("x"), F.col("rep").alias("a")), least.select(F.col("code").alias("y"), F.col("rep").alias("b"))
+    labels = clusters(near.join(x, "x").join(y, "y").select("a", "b"))
+    d = least.join(labels, F.col("rep") == F.col("id"), "left").where("n > 1 or label is not null").select("code", F.coalesce("label", "rep").alias("label"))
+    return sig.select("id", "code").join(d, "code").select("id", "label")
 
 
 def cosine(a: Column, b: Column) -> Column:

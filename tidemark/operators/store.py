@@ -1,8 +1,8 @@
 """Persisted runs: five tables as Parquet snapshots, and what reads and rewrites them.
 
-A change is a function from tables to tables; ``Warehouse`` writes the result as a new
-snapshot and moves the pointer, so readers see either state and a failed write changes
-nothing. Tables of runs are partitioned by run.
+A change is a function from tables to tables; ``Warehouse`` writes the result as new
+snapshots and then the next pointer, so readers see either state and a failed write
+changes nothing. Tables of runs are kept by run.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -52,9 +52,26 @@ def runs_of(files: DataFrame, records: DataFrame) -> DataFrame:
     )
 
 
-def upsert(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Rows of ``changes`` take the place of those of the same key."""
-    return current.join(changes.select(key), key, "left_anti").select(*current.columns).unionByName(changes.select(*current.columns))
+def upsert(current: DataFrame, changes: DataFrame, key: str, newest: str | None = None) -> DataFrame:
+    """Rows of ``changes`` take the place of those of the same key. Of several changes of one key that of the
+    greatest ``newest`` counts, or, without it or among equal ones, the greatest row."""
+    whole = F.struct(*[F.col(c) for c in current.columns])
+    order = F.struct(F.col(newest), whole) if newest else whole
+    one = changes.groupBy(key).agg(F.max_by(whole, order).alias("__r")).select("__r.*")
+    return current.join(one.select(key), key, "left_anti").select(*current.columns).unionByName(one)
+
+
+def upsert_runs(runs: DataFrame, changes: DataFrame) -> DataFrame:
+    """Run rows by their id; of several of one id the latest."""
+    return upsert(runs, changes, "run_id", "timestamp")
+
+
+def add_items(items: DataFrame, cluster: int, records: DataFrame) -> DataFrame:
+    """Records (path, action, size_mb, dimensions) become items of a cluster; ids go on from the greatest there is."""
+    top = items.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).withColumn("j", F.lit(1))
+    new = records.withColumn("j", F.lit(1)).join(top, "j").withColumn("k", F.row_number().over(Window.partitionBy("j").orderBy("path")))
+    new = new.select((F.col("top") + F.col("k")).alias("id"), F.lit(cluster).cast("long").alias("cluster_id"), "path", "action", X.bytes_of_mb(F.col("size_mb")).alias("size_bytes"), "dimensions")
+    return items.unionByName(new.select(*items.columns))
 
 
 def run_history(runs: DataFrame, n: int = 50) -> DataFrame:
@@ -122,6 +139,21 @@ def missing_paths(items: DataFrame, catalog: DataFrame) -> DataFrame:
     return items.where("action = 'DUPLICATE'").select("path").distinct().join(catalog.select("path"), "path", "left_anti")
 
 
+def prune(t: RunTables, catalog: DataFrame) -> tuple[RunTables, DataFrame]:
+    """Duplicates that are on disk no more go as if they had been deleted; what that removes and frees as one row."""
+    gone = missing_paths(t.items, catalog)
+    return remove_paths(t, gone), freed_space(t.items, gone)
+
+
+def cached_file(index: DataFrame, path: str) -> DataFrame:
+    """The indexed file of a path, or no row."""
+    return index.where(F.col("path") == path)
+
+
+def forget_file(index: DataFrame, path: str) -> DataFrame:
+    return index.where(F.col("path") != path)
+
+
 def delete_run(t: RunTables, index: DataFrame, run_id: str) -> tuple[RunTables, DataFrame]:
     """A run goes with its clusters and items; files last seen by it lose that mark."""
     gone = t.clusters.where(F.col("run_id") == run_id).select(F.col("id").alias("cluster_id"))
@@ -157,7 +189,18 @@ def reloaded_summary(t: RunTables) -> DataFrame:
 
 
 class Warehouse:
-    """The tables in a folder: ``<root>/<table>/<snapshot>`` and, in ``<root>/_current``, which snapshot holds."""
+    """The tables in a folder.
+
+    ``<root>/<table>/<snapshot>`` holds files; ``<root>/_pointers/<number>`` says which snapshots make up which
+    table. Tables of runs are made up of parts, one a run, so saving a run writes that run alone. A change writes
+    its snapshots and then the next pointer, as one rename; readers take the greatest pointer, so they see the state
+    before or after it, and a writer that dies leaves the state before. Of two writers at once one fails.
+    """
+
+    #: Tables whose parts are runs.
+    BY_RUN = ("scan_runs", "duplicate_clusters", "duplicate_items")
+    #: Older pointers that are kept for readers that have just taken one.
+    KEPT_POINTERS = 5
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -167,46 +210,90 @@ class Warehouse:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def current(self) -> dict[str, str]:
-        p, fs = self._fs(f"{self.root}/_current")
-        if not fs.exists(p):
+    def _numbers(self) -> list[int]:
+        p, fs = self._fs(f"{self.root}/_pointers")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def current(self) -> dict[tuple[str, str], str]:
+        """Snapshots by table and part; the part is the run's id, or '' for what is not parted."""
+        numbers = self._numbers()
+        if not numbers:
             return {}
-        return {r.name: r.snapshot for r in self.spark.read.json(f"{self.root}/_current").collect()}
+        return {(r.name, r.part): r.snapshot for r in self.spark.read.schema("name string, part string, snapshot string").json(f"{self.root}/_pointers/{numbers[-1]:012d}").collect()}
 
     def read(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise StoreError(f"there is no table {name!r}")
-        snapshot = self.current().get(name)
-        if snapshot is None:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/{snapshot}")
+        paths = [f"{self.root}/{name}/{snapshot}" for (table, _), snapshot in self.current().items() if table == name]
+        return self.spark.read.schema(TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[name])
+
+    def _put(self, name: str, df: DataFrame) -> str:
+        if name not in TABLES:
+            raise StoreError(f"there is no table {name!r}")
+        snapshot = uuid.uuid4().hex
+        df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields]).write.parquet(f"{self.root}/{name}/{snapshot}")
+        return snapshot
+
+    def _point(self, now: dict[tuple[str, str], str]) -> None:
+        """Make a state the current one: a few rows a run, written aside and renamed to the next number."""
+        numbers = self._numbers()
+        new = numbers[-1] + 1 if numbers else 0
+        aside = f"{self.root}/_aside-{uuid.uuid4().hex}"
+        self.spark.createDataFrame([(n, part, s) for (n, part), s in now.items()], "name string, part string, snapshot string").coalesce(1).write.json(aside)
+        (source, fs), (target, _) = self._fs(aside), self._fs(f"{self.root}/_pointers/{new:012d}")
+        fs.mkdirs(target.getParent())
+        if fs.exists(target) or not fs.rename(source, target):
+            fs.delete(source, True)
+            raise StoreError("another writer was first; read again and retry")
+        for n in numbers[: -self.KEPT_POINTERS]:
+            fs.delete(self._fs(f"{self.root}/_pointers/{n:012d}")[0], True)
 
     def write(self, **tables: DataFrame) -> None:
-        """New snapshots of some tables, all visible at once. The pointer moves last; it is five rows at most."""
+        """New contents of whole tables, all visible at once."""
         now = self.current()
         for name, df in tables.items():
-            if name not in TABLES:
-                raise StoreError(f"there is no table {name!r}")
-            snapshot = uuid.uuid4().hex
-            cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields]
-            writer = df.select(*cols).write
-            if "run_id" in df.columns and name == "duplicate_clusters":
-                writer = writer.partitionBy("run_id")
-            writer.parquet(f"{self.root}/{name}/{snapshot}")
-            now[name] = snapshot
-        pointer = self.spark.createDataFrame([(k, v) for k, v in now.items()], "name string, snapshot string").coalesce(1)
-        pointer.write.mode("overwrite").json(f"{self.root}/_next")
-        (old, fs), (new, _) = self._fs(f"{self.root}/_current"), self._fs(f"{self.root}/_next")
-        fs.delete(old, True)
-        fs.rename(new, old)
+            snapshot = self._put(name, df)
+            now = {k: v for k, v in now.items() if k[0] != name}
+            now[name, ""] = snapshot
+        self._point(now)
 
     def save_run(self, runs: DataFrame, clusters: DataFrame, items: DataFrame) -> None:
-        """Write a run; one of the same id goes with its clusters and items."""
-        t = RunTables(self.read("scan_runs"), self.read("duplicate_clusters"), self.read("duplicate_items"))
-        same = t.clusters.join(runs.select("run_id"), "run_id", "left_semi")
-        items_left = t.items.join(same.select(F.col("id").alias("cluster_id")), "cluster_id", "left_anti").select(*t.items.columns)
-        clusters_left = t.clusters.join(runs.select("run_id"), "run_id", "left_anti").select(*t.clusters.columns)
-        self.write(scan_runs=upsert(t.runs, runs, "run_id"), duplicate_clusters=clusters_left.unionByName(clusters), duplicate_items=items_left.unionByName(items))
+        """Write one run; what was saved of the same id goes. Other runs' files are not touched, unless a whole table
+        written at once holds the run too: that table is then written anew without it."""
+        ids = [r.run_id for r in runs.select("run_id").distinct().limit(2).collect()]
+        if len(ids) != 1:
+            raise StoreError("a run is saved by itself")
+        now = self.current()
+        if ("scan_runs", "") in now:
+            whole = {n: self.spark.read.schema(TABLES[n]).parquet(f"{self.root}/{n}/{now[n, '']}") for n in self.BY_RUN if (n, "") in now}
+            t = RunTables(whole["scan_runs"], whole.get("duplicate_clusters", self.read("duplicate_clusters")), whole.get("duplicate_items", self.read("duplicate_items")))
+            if not t.runs.where(F.col("run_id") == ids[0]).isEmpty():
+                left, _ = delete_run(t, self.read("file_index"), ids[0])
+                for n, d in (("scan_runs", left.runs), ("duplicate_clusters", left.clusters), ("duplicate_items", left.items)):
+                    now[n, ""] = self._put(n, d)
+        for n, d in zip(self.BY_RUN, (runs, clusters, items), strict=True):
+            now[n, ids[0]] = self._put(n, d)
+        self._point(now)
+
+
+def list_watched(watched: DataFrame) -> DataFrame:
+    return watched.orderBy("id")
+
+
+def toggle_watched(watched: DataFrame, path_id: int, enabled: bool) -> DataFrame:
+    """A watched path is switched on or off; an id that there is not changes nothing."""
+    return watched.withColumn("enabled", F.when(F.col("id") == path_id, F.lit(enabled)).otherwise(F.col("enabled")))
+
+
+def remove_watched(watched: DataFrame, path_id: int) -> DataFrame:
+    return watched.where(F.col("id") != path_id)
+
+
+def touch_watched(watched: DataFrame, at) -> DataFrame:
+    """Enabled paths were scanned at ``at`` (a column or a time)."""
+    at = at if isinstance(at, Column) else F.lit(at)
+    return watched.withColumn("last_scanned_at", F.when(F.col("enabled"), at.cast("timestamp")).otherwise(F.col("last_scanned_at")))
 
 
 def watch_sync(current: DataFrame, desired: DataFrame) -> DataFrame:

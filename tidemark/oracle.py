@@ -2,29 +2,27 @@
 
 from __future__ import annotations
 
-from tidemark.functions import exprs as X
-from tidemark.plans import corpus
 
-
-def _in(values) -> str:
-    return "(" + ", ".join("'" + v + "'" for v in values) + ")"
-
-
-_PATH, _NESTED = (s.format(string="VARCHAR") for s in (corpus.PATH_SQL, corpus.NESTED_SQL))
+# Values are written out here, not taken from the library, so that a wrong one there shows.
+_PATH = """concat('/vault/', source, CASE doc_id % 11 WHEN 3 THEN '/trash/' WHEN 5 THEN '/.trash-1000/' WHEN 8 THEN '/album-b/' ELSE '/' END,
+ CASE doc_id % 13 WHEN 1 THEN 'copy of ' WHEN 2 THEN 'thumb_' ELSE '' END, 'doc_', CAST(doc_id AS VARCHAR),
+ CASE doc_id % 7 WHEN 1 THEN ' - Copy' WHEN 2 THEN '_edited' WHEN 4 THEN '_copy' ELSE '' END,
+ CASE doc_id % 10 WHEN 0 THEN '.jpg' WHEN 1 THEN '.PNG' WHEN 2 THEN '.mp4' WHEN 3 THEN '.txt' WHEN 4 THEN '.gif' WHEN 5 THEN '.heic' WHEN 6 THEN '' WHEN 7 THEN '.ts' WHEN 8 THEN '.mov' ELSE '.pdf' END)"""
+_NESTED = "concat('/vault/', source, CASE doc_id % 17 WHEN 4 THEN '/node_modules' WHEN 9 THEN '/.git/objects' WHEN 12 THEN '/venv2' ELSE '' END, '/doc_', CAST(doc_id AS VARCHAR), '.jpg')"
 _NAME = "list_extract(string_split({p}, '/'), -1)"
-_EXCLUDED = f"list_has_any(string_split(substr(path, 8), '/'), [{', '.join(repr(x) for x in X.EXCLUDED_NAMES)}])"
-_MIME = "CASE " + " ".join(f"WHEN ext = '{e}' THEN '{m}'" for e, m in X.MIME_TYPES.items()) + " ELSE 'application/octet-stream' END"
-_LOW = "lower(replace(path, chr(92), '/'))"
-_SCORE = (
-    "CAST(100 - CASE WHEN " + " OR ".join(f"contains({_LOW}, '{m}')" for m in X.TRASH_MARKS) + " THEN 500 ELSE 0 END - CASE WHEN "
-    + " OR ".join([f"contains(lower(fname), '{m}')" for m in X.COPY_MARKS] + [f"starts_with(lower(fname), '{m}')" for m in X.COPY_STARTS])
-    + " THEN 25 ELSE 0 END - CASE WHEN contains(lower(fname), 'thumb') THEN 50 ELSE 0 END - CASE WHEN contains(lower(fname), 'edited') THEN 10 ELSE 0 END AS BIGINT)"
-)
+_EXCLUDED = "list_has_any(string_split(substr(path, 8), '/'), ['.git', '.svn', 'node_modules', '__pycache__', '.cache', '_duplicate_quarantine', '_dedupe_reports', '_logs', '_zips', '.vscode', '.idea', '$RECYCLE.BIN', 'System Volume Information', '.venv', 'venv'])"
+_PHOTO = "('jpg', 'jpeg', 'png', 'webp', 'bmp', 'tiff', 'tif', 'heic', 'heif', 'psd')"
+_VIDEO = "('mp4', 'mkv', 'avi', 'mov', 'webm', 'flv', 'wmv', 'm4v', 'ts', 'mp')"
+_MIME = """CASE WHEN ext IN ('jpg', 'jpeg') THEN 'image/jpeg' WHEN ext IN ('png', 'webp', 'gif', 'bmp') THEN 'image/' || ext WHEN ext = 'svg' THEN 'image/svg+xml' WHEN ext IN ('mp4', 'webm') THEN 'video/' || ext
+WHEN ext = 'mov' THEN 'video/quicktime' WHEN ext = 'mkv' THEN 'video/x-matroska' WHEN ext = 'pdf' THEN 'application/pdf' WHEN ext = 'csv' THEN 'text/csv' WHEN ext = 'sh' THEN 'application/x-sh' ELSE 'application/octet-stream' END"""
+_SCORE = """CAST(100 - CASE WHEN regexp_matches(lower(replace(path, chr(92), '/')), '/trash/|/[.]trash|/recycle|[$]recycle[.]bin') THEN 500 ELSE 0 END
+- CASE WHEN regexp_matches(lower(fname), ' - copy|-copy|_copy|[(]copy[)]| copy[.]| copy |^copy |^copy_|^copy of ') THEN 25 ELSE 0 END
+- CASE WHEN contains(lower(fname), 'thumb') THEN 50 ELSE 0 END - CASE WHEN contains(lower(fname), 'edited') THEN 10 ELSE 0 END AS BIGINT)"""
 
 FILES = f"""f0 AS (SELECT doc_id, text AS content, {_PATH} AS path, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes, 1700000000 + doc_id * 60 AS modified_epoch FROM documents),
 f1 AS (SELECT *, {_NAME.format(p="path")} AS fname, lower(regexp_extract({_NAME.format(p="path")}, '^.+\\.([^.]*)$', 1)) AS ext FROM f0 WHERE size_bytes > 0),
-f AS (SELECT *, (ext IN {_in(X.IMAGE_EXTENSIONS)} OR ext IN {_in(X.VIDEO_EXTENSIONS)}) AS is_media,
-  CASE WHEN ext IN {_in(X.VIDEO_EXTENSIONS)} THEN 'VIDEO' WHEN ext IN {_in(X.IMAGE_EXTENSIONS)} THEN 'PHOTO' ELSE 'FILE' END AS category FROM f1)"""
+f AS (SELECT *, (ext IN {_PHOTO} OR ext IN {_VIDEO}) AS is_media,
+  CASE WHEN ext IN {_VIDEO} THEN 'VIDEO' WHEN ext IN {_PHOTO} THEN 'PHOTO' ELSE 'FILE' END AS category FROM f1)"""
 
 
 def _members(source: str, by: str) -> str:
@@ -99,7 +97,21 @@ SELECT (SELECT count(*) FROM f) AS total_files, (SELECT count(*) FROM f WHERE is
 g AS total_duplicate_groups, wasted_bytes, {_ROUND.format(x='(wasted_bytes::DOUBLE / 1048576)', n='100.0::DOUBLE')} AS wasted_mb, {_ROUND.format(x='(wasted_bytes::DOUBLE / 1048576 / 1024)', n='1000.0::DOUBLE')} AS wasted_gb FROM w""",
     "summary_json": f"""{ONE} SELECT '{{"total_files":' || (SELECT count(*) FROM f) || ',"media_files":' || (SELECT count(*) FROM f WHERE is_media) || ',"exact_duplicate_groups":' || count(*) FILTER (rank = 1) || ',"wasted_bytes":' ||
 coalesce(sum(size_bytes) FILTER (rank > 1), 0) || ',"csv_report":"","quarantine_script":""}}' AS json FROM rec""",
-    "table_sorted": f"{ONE} SELECT path, size_bytes, action FROM rec ORDER BY size_bytes DESC, lower(fname), path LIMIT 100",
+    "table_sorted": f"{ONE} SELECT row_number() OVER (ORDER BY size_bytes DESC, lower(fname), path) AS place, path, size_bytes, action FROM rec",
+    "groups_ordered": f"""{ONE} SELECT group_id, count(*) AS n_members, '["' || string_agg(path, '","' ORDER BY rank > 1, path) || '"]' AS paths FROM rec GROUP BY 1""",
+    "newest_keeper": f"{ONE} SELECT group_id, path, CASE WHEN row_number() OVER (PARTITION BY group_id ORDER BY modified_epoch DESC, string_split(path, '/')) = 1 THEN 'KEEP' ELSE 'DUPLICATE' END AS action FROM rec",
+    "content_near_duplicates": r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0) x),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL),
+e0 AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)),
+e AS (SELECT a AS u, b AS v FROM e0 UNION SELECT b, a FROM e0),
+r(id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.id)
+SELECT id AS doc_id, min(c) AS class_id FROM r GROUP BY 1""",
+    "progress_text": f"""WITH {FILES} SELECT path, regexp_replace(CAST(size_bytes AS VARCHAR) || '000', '^(\\d{{1,3}}?)((?:\\d{{3}})+)$', '\\1') || regexp_replace(regexp_replace(CAST(size_bytes AS VARCHAR) || '000', '^(\\d{{1,3}}?)((?:\\d{{3}})+)$', '\\2'), '(\\d{{3}})', ',\\1', 'g') AS bytes,
+CASE WHEN length(path) <= 24 THEN path ELSE path[1:21] || '...' END AS short,
+CASE WHEN size_bytes >= 2000 THEN printf('%.1f', size_bytes / 2000.0::DOUBLE) || 'k/s' ELSE CAST(CAST(round_even(size_bytes / 2.0, 0) AS BIGINT) AS VARCHAR) || '/s' END AS rate,
+lpad(CAST(size_bytes // 600 AS VARCHAR), CAST(greatest(2, length(CAST(size_bytes // 600 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(size_bytes // 10 % 60 AS VARCHAR), 2, '0') AS clock FROM f""",
     "saved_clusters": f"{ALL} SELECT * FROM cl",
     "saved_items": f"{ALL} SELECT * FROM it",
     "run_history_top": f"{ALL} SELECT run_id, total_files, duplicate_groups, wasted_bytes, status FROM rr ORDER BY run_id DESC LIMIT 2",
@@ -110,7 +122,10 @@ coalesce(sum(size_bytes) FILTER (rank > 1), 0) || ',"csv_report":"","quarantine_
     "cluster_count": f"{ALL} SELECT run_id, category, count(*) AS n FROM cl GROUP BY ALL",
     "groups_by_match_type": f"{ALL} SELECT run_id, match_type, count(*) AS n_groups FROM cl GROUP BY ALL",
     "distinct_duplicate_paths": f"{ALL} SELECT DISTINCT path FROM it WHERE action = 'DUPLICATE'",
-    "keeper_override": f"{ALL} SELECT id, path, CASE WHEN id % 1000000 = 2 THEN 'KEEP' ELSE 'DUPLICATE' END AS action FROM it WHERE cluster_id = 3000000001",
+    "keeper_override": f"{ALL} SELECT id, path, CASE WHEN cluster_id <> 3000000001 THEN action WHEN id % 1000000 = 2 THEN 'KEEP' ELSE 'DUPLICATE' END AS action FROM it",
+    "runs_upsert": f"{ALL} SELECT run_id, total_files, CASE run_id WHEN 'run_2' THEN 'repeated' ELSE status END AS status FROM rr UNION ALL SELECT 'run_4', total_files, status FROM rr WHERE run_id = 'run_2'",
+    "items_added": f"""{ALL} SELECT id, cluster_id, path, size_bytes FROM it UNION ALL
+SELECT (SELECT coalesce(max(id), 0) FROM it) + row_number() OVER (ORDER BY path), 1000000001, path, size_bytes FROM f WHERE is_media""",
     "items_after_delete": f"{ALL} SELECT id, path, action FROM it2",
     "freed_space": f"{ALL} SELECT count(*) FILTER (action = 'DUPLICATE') AS removed, CAST(coalesce(sum(size_bytes) FILTER (action = 'DUPLICATE'), 0) AS BIGINT) AS freed_bytes FROM it WHERE path IN (SELECT path FROM del)",
     "exhausted_clusters": f"{ALL} SELECT cl.id, run_id FROM cl LEFT JOIN it2 ON it2.cluster_id = cl.id AND it2.action = 'DUPLICATE' GROUP BY ALL HAVING count(it2.id) = 0",
@@ -120,6 +135,17 @@ CAST((SELECT coalesce(sum(size_bytes), 0) FROM cl JOIN it2 ON it2.cluster_id = c
 SELECT run_id, (SELECT count(*) FROM c2 WHERE c2.run_id = rr.run_id) AS duplicate_groups, CAST((SELECT coalesce(sum(size_bytes), 0) FROM i3 WHERE i3.run_id = rr.run_id AND action = 'DUPLICATE') AS BIGINT) AS wasted_bytes,
 (SELECT count(*) FROM i3 WHERE i3.run_id = rr.run_id) AS n_items FROM rr""",
     "prune_missing": f"{ALL} SELECT DISTINCT path FROM it WHERE action = 'DUPLICATE' AND path NOT IN (SELECT path FROM f WHERE doc_id % 6 <> 0)",
+    "prune_cascade": f"""{ALL}, gone AS (SELECT path FROM f WHERE doc_id % 6 = 0 AND path IN (SELECT path FROM it WHERE action = 'DUPLICATE')), i4 AS (SELECT * FROM it WHERE path NOT IN (SELECT path FROM gone)),
+c4 AS (SELECT cl.* FROM cl WHERE EXISTS (SELECT 1 FROM i4 WHERE i4.cluster_id = cl.id AND action = 'DUPLICATE'))
+SELECT run_id, (SELECT count(*) FROM c4 WHERE c4.run_id = rr.run_id) AS duplicate_groups,
+CAST((SELECT coalesce(sum(size_bytes), 0) FROM i4 JOIN c4 ON c4.id = i4.cluster_id WHERE c4.run_id = rr.run_id AND action = 'DUPLICATE') AS BIGINT) AS wasted_bytes FROM rr""",
+    "prune_counts": f"""{ALL} SELECT count(*) FILTER (action = 'DUPLICATE') AS removed, CAST(coalesce(sum(size_bytes) FILTER (action = 'DUPLICATE'), 0) AS BIGINT) AS freed_bytes FROM it
+WHERE path IN (SELECT path FROM f WHERE doc_id % 6 = 0) AND path IN (SELECT path FROM it WHERE action = 'DUPLICATE')""",
+    "file_index_forget": f"{INDEX} SELECT path, last_seen_run FROM ix WHERE path NOT IN (SELECT path FROM f WHERE doc_id = 1)",
+    "file_index_lookup": f"{INDEX} SELECT path, size_bytes, modified_epoch, quick_hash, category, last_seen_run FROM ix WHERE path IN (SELECT path FROM f WHERE doc_id = 1)",
+    "watched_toggle": f"{WATCHED} SELECT id, path, recursive, enabled AND id <> (SELECT min(id) FROM now) AS enabled FROM now",
+    "watched_remove": f"{WATCHED} SELECT id, path, recursive, enabled FROM now WHERE id <> (SELECT min(id) FROM now)",
+    "watched_touch": f"{WATCHED} SELECT id, path, enabled, enabled AS scanned FROM now ORDER BY id",
     "cascade_delete_run": f"{ALL} SELECT run_id, count(*) AS n_clusters, any_value(total_files) AS total_files FROM cl JOIN rr USING (run_id) WHERE run_id <> 'run_2' GROUP BY 1",
     "index_after_run_delete": f"{INDEX} SELECT CAST(NULL AS VARCHAR) AS last_seen_run, count(*) AS n FROM ix",
     "reloaded_summary": f"""{ALL} SELECT run_id, category, CAST(count(it.id) AS BIGINT) AS n_duplicates, total_files, duplicate_groups, wasted_bytes::DOUBLE / 1048576 AS wasted_mb
@@ -140,6 +166,7 @@ UNION ALL SELECT (SELECT coalesce(max(id), 0) FROM now) + row_number() OVER (ORD
     "clean_batches": f"{ONE} SELECT path, CAST((row_number() OVER (ORDER BY group_id, rank) - 1) // 10 AS BIGINT) AS batch_no FROM rec WHERE rank > 1",
     "delete_plan_trash": f"""{ONE}, p AS (SELECT *, row_number() OVER (PARTITION BY fname ORDER BY path) AS k2 FROM rec WHERE rank > 1 AND doc_id % 3 = 0)
 SELECT 'trash' AS op, path AS src, '/vault/.tidemark_trash/' || CASE WHEN k2 = 1 THEN fname ELSE regexp_extract(fname, '^(.+?)(\\.[^.]*)?$', 1) || '_' || (k2 - 1) || regexp_extract(fname, '^(.+?)(\\.[^.]*)?$', 2) END AS dst, size_bytes FROM p""",
+    "delete_plan_permanent": f"{ONE} SELECT 'permanent' AS op, path AS src, CAST(NULL AS VARCHAR) AS dst, size_bytes FROM rec WHERE rank > 1 AND doc_id % 3 = 0",
     "delete_plan_hardlink": f"{ONE} SELECT 'hardlink' AS op, a.path AS src, b.path AS dst, a.size_bytes FROM rec a JOIN rec b ON a.group_id = b.group_id AND b.rank = 1 WHERE a.rank > 1 AND a.doc_id % 3 = 0",
     "quarantine_dry_run": f"{ONE} SELECT count(*) AS total_files_moved, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS total_bytes_moved, true AS dry_run FROM rec WHERE rank > 1",
     "trash_status": f"""WITH {FILES}, t AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, size_bytes FROM f)
@@ -147,13 +174,16 @@ SELECT count(*) AS items_count, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS
     "smart_clean_tracks": f"{ONE} SELECT 'exact' AS track, count(*) AS files, count(DISTINCT group_id) AS groups, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM rec WHERE rank > 1 HAVING count(*) > 0",
     "relevant_events": f"{EVENTS} SELECT event_id, kind FROM ev WHERE kind <> 'access' AND (path IS NULL OR path = '/vault/f')",
     "events_outside_pause": f"{EVENTS}, pz AS (SELECT event_ts AS a, event_ts + INTERVAL 60 SECOND AS b FROM ev WHERE event_id % 50 = 0) SELECT event_id FROM ev WHERE NOT EXISTS (SELECT 1 FROM pz WHERE event_ts >= a AND event_ts < b)",
+    "sweeps_due": f"""{EVENTS}, pz AS (SELECT event_ts AS a, event_ts + INTERVAL 60 SECOND AS b FROM ev WHERE event_id % 50 = 0
+UNION ALL SELECT event_ts, event_ts + INTERVAL 5 SECOND FROM ev WHERE kind <> 'access' AND (path IS NULL OR path = '/vault/f')),
+tk AS (SELECT event_id, event_ts + INTERVAL 6 SECOND AS t FROM ev WHERE event_id % 10 = 7) SELECT event_id FROM tk WHERE NOT EXISTS (SELECT 1 FROM pz WHERE t >= a AND t < b)""",
     "debounce_sessions": f"""{EVENTS}, g AS (SELECT event_ts, CASE WHEN event_ts - lag(event_ts) OVER (ORDER BY event_ts) < INTERVAL 60 SECOND THEN 0 ELSE 1 END AS new FROM ev),
 n AS (SELECT event_ts, sum(new) OVER (ORDER BY event_ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT min(event_ts) AS first_ts, count(*) AS n_events FROM n GROUP BY k""",
     "debounce_by_user": f"""{EVENTS}, g AS (SELECT user_id, CASE WHEN event_ts - lag(event_ts) OVER (PARTITION BY user_id ORDER BY event_ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM ev)
 SELECT user_id, CAST(sum(new) AS BIGINT) AS n_sessions FROM g GROUP BY 1""",
     "sweep_windows": f"{EVENTS} SELECT time_bucket(INTERVAL 1 HOUR, event_ts) + INTERVAL 1 HOUR AS sweep_ts, count(*) AS n_events FROM ev GROUP BY 1",
     "perceptual_bits": """SELECT vec_id AS id, CAST(len(list_filter(embedding, lambda x: x > 0)) AS INTEGER) AS ones,
-CAST(list_sum(list_transform(range(0, 16), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1 << i ELSE 0 END)) AS BIGINT) AS low FROM embeddings""",
+array_to_string(list_transform(range(64, 0, -1), lambda i: CASE WHEN coalesce(embedding[i], 0) > 0 THEN '1' ELSE '0' END), '') AS bits FROM embeddings""",
     "hamming_pairs": _PAIRS,
     "cosine_pairs": "SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS similarity FROM embeddings x, embeddings y WHERE x.vec_id < y.vec_id AND list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.4",
     "visual_clusters": f"""WITH RECURSIVE p AS ({_PAIRS}), e AS (SELECT a AS u, b AS v FROM p UNION SELECT b, a FROM p),

@@ -6,11 +6,15 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+from tidemark.errors import ConfigError
+
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Where the cluster names no folder for checkpoints, as in tests, set one of our own."""
+    """Where no folder for checkpoints is named, as in tests, set one of our own; a cluster has to name one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    sc.setCheckpointDir(folder)
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ConfigError("spark.checkpoint.dir names no folder that all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))

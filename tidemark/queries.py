@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
-from tidemark.operators import exact, matchers, reports, similarity, store
+from tidemark.operators import content, exact, keepers, matchers, reports, similarity, store
 from tidemark.plans import corpus
+from tidemark.plans.session import ensure_checkpoints
 from tidemark.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -227,8 +228,38 @@ def summary_json(spark, sf):
 
 @query
 def table_sorted(spark, sf):
-    """Records by size, then name: the first hundred."""
-    return _records(spark, sf).withColumn("name", X.file_name(F.col("path"))).orderBy(F.desc("size_bytes"), F.lower("name"), "path").limit(100).select("path", "size_bytes", "action")
+    """All records with their place by size, then name."""
+    return reports.sorted_table(_records(spark, sf)).select("place", "path", "size_bytes", "action")
+
+
+@query
+def groups_ordered(spark, sf):
+    """Groups with their members, the kept one first."""
+    d = reports.ordered_groups(_records(spark, sf))
+    return d.select("group_id", "n_members", F.to_json(F.transform("members", lambda m: m["path"])).alias("paths"))
+
+
+@query
+def newest_keeper(spark, sf):
+    """Records where the file changed last is kept."""
+    return exact.duplicate_records(corpus.files(spark, sf, content=True), keeper=keepers.NewestKeeper()).select("group_id", "path", "action")
+
+
+@query
+def content_near_duplicates(spark, sf):
+    """Classes of documents whose word shingles agree."""
+    ensure_checkpoints(spark)
+    return content.content_classes(corpus.documents(spark, sf).select("doc_id", "text"))
+
+
+@query
+def progress_text(spark, sf):
+    """Counts, names, rates and times as a terminal shows them."""
+    f = corpus.files(spark, sf)
+    return f.select(
+        "path", X.with_thousands(F.col("size_bytes") * 1000).alias("bytes"), X.shortened(F.col("path"), 24).alias("short"),
+        X.rate(F.col("size_bytes"), F.lit(2)).alias("rate"), X.clock(F.col("size_bytes") / 10).alias("clock"),
+    )
 
 
 # persisted runs
@@ -289,11 +320,11 @@ def distinct_duplicate_paths(spark, sf):
 
 @query
 def keeper_override(spark, sf):
-    """The second file of run 3's first cluster becomes the one to keep."""
+    """The second file of run 3's first cluster becomes the one to keep; all items afterwards."""
     items = store.items_of(_run_records(spark, sf))
     first = 3 * store.RUN_STRIDE + 1
     second = items.where(F.col("id") == first * store.ITEM_STRIDE + 2).select("path").first()
-    return store.override_keeper(items, first, second.path if second else "").where(F.col("cluster_id") == first).select("id", "path", "action")
+    return store.override_keeper(items, first, second.path if second else "").select("id", "path", "action")
 
 
 @query
@@ -331,6 +362,48 @@ def prune_missing(spark, sf):
     return store.missing_paths(store.items_of(_run_records(spark, sf)), disk)
 
 
+@query
+def prune_cascade(spark, sf):
+    """Runs after duplicates that are on disk no more have gone."""
+    after, _ = store.prune(_tables(spark, sf), corpus.files(spark, sf).where("doc_id % 6 <> 0"))
+    return after.runs.select("run_id", "duplicate_groups", "wasted_bytes")
+
+
+@query
+def prune_counts(spark, sf):
+    return store.prune(_tables(spark, sf), corpus.files(spark, sf).where("doc_id % 6 <> 0"))[1]
+
+
+@query
+def runs_upsert(spark, sf):
+    """Run rows after run 2 was written twice more: the later one counts."""
+    runs = _tables(spark, sf).runs
+    again = runs.where("run_id = 'run_2'").withColumn("status", F.lit("failed"))
+    later = again.withColumns({"timestamp": F.col("timestamp") + F.expr("interval 1 hour"), "status": F.lit("repeated")})
+    new = again.withColumns({"run_id": F.lit("run_4"), "status": F.lit("completed")})
+    return store.upsert_runs(runs, again.unionByName(later).unionByName(new)).select("run_id", "total_files", "status")
+
+
+@query
+def items_added(spark, sf):
+    """Items after records of the media files were added to the first cluster of run 1."""
+    items = store.items_of(_run_records(spark, sf))
+    r = corpus.files(spark, sf).where("is_media").select("path", F.lit("DUPLICATE").alias("action"), X.size_mb(F.col("size_bytes")).alias("size_mb"), F.lit(None).cast("string").alias("dimensions"))
+    return store.add_items(items, store.RUN_STRIDE + 1, r).select("id", "cluster_id", "path", "size_bytes")
+
+
+@query
+def file_index_forget(spark, sf):
+    f = corpus.files(spark, sf).where("doc_id = 1").select("path").first()
+    return store.forget_file(_index(spark, sf), f.path if f else "").select("path", "last_seen_run")
+
+
+@query
+def file_index_lookup(spark, sf):
+    f = corpus.files(spark, sf).where("doc_id = 1").select("path").first()
+    return store.cached_file(_index(spark, sf), f.path if f else "").drop("full_hash")
+
+
 @query
 def cascade_delete_run(spark, sf):
     t, _ = store.delete_run(_tables(spark, sf), _index(spark, sf), "run_2")
@@ -385,6 +458,30 @@ def watched_paths_upsert(spark, sf):
     return store.upsert_watched(*_watched(spark, sf))
 
 
+@query
+def watched_toggle(spark, sf):
+    """Watched paths after the path of the least id was switched off."""
+    now, _ = _watched(spark, sf)
+    first = now.agg(F.min("id").alias("id")).first().id
+    return store.toggle_watched(now, first if first is not None else 0, False)
+
+
+@query
+def watched_remove(spark, sf):
+    now, _ = _watched(spark, sf)
+    first = now.agg(F.min("id").alias("id")).first().id
+    return store.remove_watched(now, first if first is not None else 0)
+
+
+@query
+def watched_touch(spark, sf):
+    """Enabled paths were scanned; the others never were. In the order of ids."""
+    now, _ = _watched(spark, sf)
+    now = now.withColumn("last_scanned_at", F.lit(None).cast("timestamp"))
+    d = store.list_watched(store.touch_watched(now, F.lit("2024-05-01 12:00:00")))
+    return d.select("id", "path", "enabled", F.col("last_scanned_at").isNotNull().alias("scanned"))
+
+
 # reports and plans
 
 
@@ -418,6 +515,11 @@ def delete_plan_trash(spark, sf):
     return reports.delete_plan(_records(spark, sf), _deleted(spark, sf), "trash", "/vault")
 
 
+@query
+def delete_plan_permanent(spark, sf):
+    return reports.delete_plan(_records(spark, sf), _deleted(spark, sf), "permanent")
+
+
 @query
 def delete_plan_hardlink(spark, sf):
     return reports.delete_plan(_records(spark, sf), _deleted(spark, sf), "hardlink")
@@ -430,7 +532,7 @@ def quarantine_dry_run(spark, sf):
 
 @query
 def trash_status(spark, sf):
-    return reports.trash_status(corpus.files(spark, sf))
+    return reports.trash_status(corpus.files(spark, sf), ("trash", ".trash-1000"))
 
 
 @query
@@ -446,12 +548,23 @@ def relevant_events(spark, sf):
     return watch.relevant(_events(spark, sf)).select("event_id", "kind")
 
 
+def _pauses(events: DataFrame) -> DataFrame:
+    return events.where("event_id % 50 = 0").select(F.col("event_ts").alias("from_ts"), (F.col("event_ts") + F.expr("interval 60 seconds")).alias("to_ts"))
+
+
 @query
 def events_outside_pause(spark, sf):
-    """Each user's first minute of an hour is a pause."""
+    """Every fiftieth event starts a pause of a minute."""
     e = _events(spark, sf)
-    p = e.where("event_id % 50 = 0").select(F.col("event_ts").alias("from_ts"), (F.col("event_ts") + F.expr("interval 60 seconds")).alias("to_ts"))
-    return watch.outside_pauses(e, p).select("event_id")
+    return watch.outside_pauses(e, _pauses(e)).select("event_id")
+
+
+@query
+def sweeps_due(spark, sf):
+    """A sweep is asked for with every tenth event: none in a pause, none within five seconds of a change."""
+    e = _events(spark, sf)
+    ticks = e.where("event_id % 10 = 7").select("event_id", (F.col("event_ts") + F.expr("interval 6 seconds")).alias("event_ts"))
+    return watch.due_sweeps(ticks, e, "5 seconds", _pauses(e)).select("event_id")
 
 
 @query
@@ -479,7 +592,8 @@ def sweep_windows(spark, sf):
 
 @query
 def perceptual_bits(spark, sf):
-    return _vectors(spark, sf).select("id", F.bit_count("code").cast("int").alias("ones"), F.col("code").bitwiseAND(F.lit(0xFFFF)).alias("low"))
+    """All 64 bits of a signature, and how many are set."""
+    return _vectors(spark, sf).select("id", F.bit_count("code").cast("int").alias("ones"), F.lpad(F.bin("code"), 64, "0").alias("bits"))
 
 
 @query
@@ -495,9 +609,5 @@ def cosine_pairs(spark, sf):
 
 @query
 def visual_clusters(spark, sf):
-    from tidemark.plans.session import ensure_checkpoints
-
     ensure_checkpoints(spark)
-    return similarity.clusters(similarity.hamming_pairs(_vectors(spark, sf), 19))
-
-
+    return similarity.hamming_clusters(_vectors(spark, sf), 19)

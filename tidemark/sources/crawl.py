@@ -8,11 +8,12 @@ left out; a missing root is an error before anything is listed.
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from tidemark.functions import exprs as X
 
@@ -56,6 +57,31 @@ class _Reader(DataSourceReader):
                     continue
 
 
+class _StreamReader(SimpleDataSourceStreamReader):
+    """Files by time of change: a batch holds what changed since the last one. A second is read once it is over."""
+
+    def __init__(self, reader: _Reader):
+        self.files = reader
+
+    def initialOffset(self) -> dict:
+        return {"until": -1}
+
+    def _changed(self, after: int, until: int) -> Iterator[tuple]:
+        seen = set()
+        for folder in self.files.partitions():
+            for row in self.files.read(folder):
+                if after < row[2] <= until and row[0] not in seen:
+                    seen.add(row[0])
+                    yield row
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        end = {"until": max(start["until"], int(time.time()) - 1)}
+        return self._changed(start["until"], end["until"]), end
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return self._changed(start["until"], end["until"])
+
+
 class CrawlSource(DataSource):
     """Options: roots (separated by line feeds), recursive, extra_excluded (separated by line feeds)."""
 
@@ -66,6 +92,9 @@ class CrawlSource(DataSource):
     def schema(self) -> str:
         return "path string, size_bytes bigint, modified_epoch bigint"
 
+    def simpleStreamReader(self, schema) -> _StreamReader:
+        return _StreamReader(self.reader(schema))
+
     def reader(self, schema) -> _Reader:
         roots = [r for r in self.options.get("roots", "").split("\n") if r]
         for r in roots:
@@ -85,6 +114,15 @@ def scan_files(spark: SparkSession, roots: list[str], recursive: bool = True, ex
     return classify(raw.dropDuplicates(["path"]))
 
 
+def stream_files(spark: SparkSession, roots: list[str], recursive: bool = True) -> DataFrame:
+    """New and changed files below the roots, as a stream of catalog rows. A file changed again comes again."""
+    for r in roots:
+        if not os.path.exists(r):
+            raise FileNotFoundError(r)
+    spark.dataSource.register(CrawlSource)
+    return classify(spark.readStream.format("crawl").options(roots="\n".join(roots), recursive=str(recursive).lower()).load())
+
+
 def classify(files: DataFrame) -> DataFrame:
     """Add ``is_media`` and ``category``; empty files go."""
     ext = X.extension(F.col("path"))
