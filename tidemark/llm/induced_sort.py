@@ -20,8 +20,8 @@ import tempfile
 
 import numpy as np
 
-#: Bytes of queued tuples held in memory before buckets go to disk.
-QUEUE_BYTES = 64 << 20
+#: Bytes of queued tuples held in memory before buckets go to disk: a few, so that a full shard's queue does spill.
+QUEUE_BYTES = 4 << 20
 NONE = np.uint16(0xFFFF)
 
 
@@ -245,25 +245,38 @@ def _sort_names(names: np.ndarray) -> np.ndarray:
         width *= 2
 
 
-def _packed(text: np.ndarray) -> np.ndarray:
-    """Four characters from each place on in one integer, the first lowest; beyond the end the character 65535."""
-    wide = np.concatenate([text.astype(np.uint64), np.full(3, 0xFFFF, np.uint64)])
-    n = len(text)
-    return wide[:n] | wide[1 : n + 1] << np.uint64(16) | wide[2 : n + 2] << np.uint64(32) | wide[3:] << np.uint64(48)
-
-
-def _common(packed: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int | np.ndarray) -> np.ndarray:
-    """Common prefixes of pairs of different suffixes, at most ``cap``. The text's last character is nowhere else in it."""
-    out = np.zeros(len(a), np.int64)
-    limit = np.broadcast_to(np.asarray(cap, np.int64), out.shape)
-    live, done = np.arange(len(a)), 0
-    while len(live):
-        x = packed[a[live] + done] ^ packed[b[live] + done]
-        met = np.where(x == 0, 4, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 4)
-        out[live] += met
-        done += 4
-        live = live[(met == 4) & (done < limit[live])]
-    return np.minimum(out, limit)
+class _Packed:
+    """As many characters from each place on as fit into 63 bits, the first lowest; beyond the end all bits are set."""
+
+    def __init__(self, text: np.ndarray, n_chars: int):
+        self.bits = max(9, n_chars.bit_length())
+        self.step = 63 // self.bits
+        n = len(text)
+        wide = np.concatenate([text.astype(np.uint64), np.full(self.step, (1 << self.bits) - 1, np.uint64)])
+        self.words = wide[:n].copy()
+        for k in range(1, self.step):
+            self.words |= wide[k : n + k] << np.uint64(k * self.bits)
+
+    def common(self, a: np.ndarray, b: np.ndarray, cap: int | np.ndarray) -> np.ndarray:
+        """Common prefixes of pairs of different suffixes, at most ``cap``. The text's last character is nowhere else in it."""
+        out = np.zeros(len(a), np.int64)
+        limit = np.broadcast_to(np.asarray(cap, np.int64), out.shape)
+        live, done = np.arange(len(a)), 0
+        a, b, words = a.astype(np.int64), b.astype(np.int64), self.words
+        while len(live):
+            x = words[a] ^ words[b]
+            apart = x != 0
+            if apart.any():
+                at = np.flatnonzero(apart)
+                y = x[at]
+                out[live[at]] = done + np.bitwise_count((y & (~y + np.uint64(1))) - np.uint64(1)) // self.bits
+            done += self.step
+            on = ~apart
+            full = on & (limit[live] <= done)
+            out[live[full]] = done
+            on &= ~full
+            live, a, b = live[on], a[on] + self.step, b[on] + self.step
+        return np.minimum(out, limit)
 
 
 def sort_suffixes(text: np.ndarray, cap: int = 65534, budget: int = QUEUE_BYTES) -> tuple[np.ndarray, np.ndarray]:
@@ -288,13 +301,13 @@ def sort_suffixes(text: np.ndarray, cap: int = 65534, budget: int = QUEUE_BYTES)
     length = np.zeros(len(text), np.int64)
     length[stars] = ends - stars
     # equal neighbours are one name
-    packed = _packed(text)
+    packed = _Packed(text, n_chars)
     a, b = by_piece[:-1], by_piece[1:]
     equal = length[a] == length[b]
     maybe = np.flatnonzero(equal)
     if len(maybe):
         size = length[a[maybe]]
-        equal[maybe] = _common(packed, a[maybe], b[maybe], size) >= size
+        equal[maybe] = packed.common(a[maybe], b[maybe], size) >= size
     name = np.zeros(len(text), np.int64)
     name[by_piece] = np.cumsum(np.concatenate([[0], ~equal]))
     if len(stars) > 1 and equal.any():
@@ -302,6 +315,6 @@ def sort_suffixes(text: np.ndarray, cap: int = 65534, budget: int = QUEUE_BYTES)
     else:
         sorted_stars = by_piece
     common = np.zeros(len(stars), np.uint16)
-    common[1:] = _common(packed, sorted_stars[:-1], sorted_stars[1:], cap)
+    common[1:] = packed.common(sorted_stars[:-1], sorted_stars[1:], cap)
     order, common = _induce(text, rising, runs, sorted_stars, common, n_chars, cap, budget)
     return order[1:], common[1:]

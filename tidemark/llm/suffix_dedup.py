@@ -2,7 +2,7 @@
 
 Every byte that a string of LENGTH bytes covers which also starts anywhere else goes.
 
-A string of LENGTH bytes has a lead: its substring of ANCHOR bytes of least hash. Equal
+A string of LENGTH bytes has a lead: its substring of half its length of least hash. Equal
 strings have equal leads at equal places in them, so they meet wherever texts are dealt
 by lead. A lead that occurs once belongs to no repeated string. Around each other lead
 stands a context, the bytes of all strings that it can lead. Contexts that are equal as a
@@ -27,6 +27,8 @@ from .common import Stash, map_arrow
 from .induced_sort import sort_suffixes
 
 LENGTH = 200
+#: A lead is this part of a string: the shorter, the fewer leads there are, and the more often one recurs by chance.
+ANCHOR_PART = 2
 MADE = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 #: Symbols sorted as one shard; a worker needs about 60 bytes for each at once.
 SHARD_SYMBOLS = 2_000_000
@@ -67,7 +69,7 @@ def leads(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.
 
     The lead of a string is its substring of least hash; where several share it, each leads.
     """
-    k = length // 2
+    k = length // ANCHOR_PART
     n = len(raw)
     if n < length:
         e = np.zeros(0, np.int64)
@@ -178,7 +180,7 @@ def shared_reach(leads_of: np.ndarray, sides: list[bytes], width: int) -> np.nda
 
 def trimmed(held: list[tuple], length: int) -> list[tuple[int, int, int, bytes]]:
     """``times, id, start, bytes`` of contexts, less what no string of ``length`` bytes shared within a lead can reach."""
-    k = length // 2
+    k = length // ANCHOR_PART
     lead = np.array([h[0] for h in held], np.int64)
     before = shared_reach(lead, [h[5][: h[3]][::-1] for h in held], length - k)
     after = shared_reach(lead, [h[5][h[3] + k :] for h in held], length - k)
