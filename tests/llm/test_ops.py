@@ -328,6 +328,18 @@ def test_suffix_sorting():
             assert s[a : a + c] == s[b : b + c] and (s[a + c : a + c + 1] != s[b + c : b + c + 1] or a + c == b + c)
 
 
+def test_long_common_prefixes():
+    rng = np.random.default_rng(3)
+    piece = rng.integers(0, 250, 700)
+    t = np.concatenate([piece, [255], piece, [254], piece[100:], piece[:333]])
+    order, common = sort_suffixes(t)
+    s = t.tolist()
+    assert order.tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+    for a, b, c in zip(order, order[1:], common[1:], strict=False):
+        assert s[a : a + c] == s[b : b + c] and s[a + c : a + c + 1] != s[b + c : b + c + 1]
+    assert common.max() == 700
+
+
 def brute_spans(texts, length=200):
     seen = Counter(t[k : k + length] for t in texts.values() for k in range(len(t) - length + 1))
     out = {}
@@ -348,6 +360,25 @@ def test_substrings(docs):
     assert got[0].text is None and got[6].text == "" and got[10].n_words == 7
 
 
+def test_substrings_of_any_rows(spark):
+    """Null, repeated and textual ids; columns of the names that the operator uses; texts of several hundred thousand bytes."""
+    rng = random.Random(4)
+    say = lambda n: "".join(rng.choice("abcdefghij é") for _ in range(n))
+    passage, long = say(262), say(300_000)
+    texts = [passage, passage, say(50) + passage, None, "", long, say(10) + long[1000:250_000], say(10), say(10)]
+    ids = [1, None, 1, None, 2, 2, 3, 4, 4]
+    rows = [(i, t, f"k{k}", k, k, k, k) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, id string, row int, rest int, start int, n_removed int")
+    expected = brute_spans({k: (t or "").encode() for k, t in enumerate(texts)})
+    got = suffix_dedup.dedup_substrings(d)
+    assert got.columns == ["doc_id", "text", "id", "row", "rest", "start", *suffix_dedup.MADE]
+    got = got.collect()
+    assert {r.row: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == expected
+    assert all((r.id, r.rest, r.doc_id) == (f"k{r.row}", r.row, ids[r.row]) for r in got)
+    named = suffix_dedup.dedup_substrings(d, id_column="id").collect()
+    assert {r.row: r.kept_sha256 for r in named} == {r.row: r.kept_sha256 for r in got}
+
+
 def test_substrings_of_hot_leads(spark, monkeypatch):
     rng = random.Random(2)
     passage = "".join(rng.choice("abcdefghij") for _ in range(230))

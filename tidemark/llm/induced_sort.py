@@ -269,7 +269,7 @@ class _Packed:
             if apart.any():
                 at = np.flatnonzero(apart)
                 y = x[at]
-                out[live[at]] = done + np.bitwise_count((y & (~y + np.uint64(1))) - np.uint64(1)) // self.bits
+                out[live[at]] = done + np.bitwise_count((y & (~y + np.uint64(1))) - np.uint64(1)).astype(np.int64) // self.bits
             done += self.step
             on = ~apart
             full = on & (limit[live] <= done)
