@@ -5,26 +5,35 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.errors import ConfigError, SecurityError, StoreError
+from tidemark.errors import ConfigError, IoError, ModelError, PluginError, SecurityError, SerializationError, StoreError
 from tidemark.functions import exprs as X
-from tidemark.operators import exact, matchers, reports, similarity, store
+from tidemark.operators import content, exact, keepers, matchers, models, reports, similarity, store
 from tidemark.plans.session import ensure_checkpoints
-from tidemark.sources import crawl
+from tidemark.sources import crawl, manifest
 from tidemark.streaming import watch
 
 SCORES = {
-    "/home/user/photos/photo.jpg": 100,
-    "/home/user/photos/photo - Copy.jpg": 75,
-    "/home/user/photos/photo_copy.jpg": 75,
-    "/home/user/photos/photo (Copy).jpg": 75,
-    "/home/user/photos/Copy of photo.jpg": 75,
-    "/home/user/photos/photocopy.jpg": 100,
-    "/home/user/photos/copyright.png": 100,
-    "/home/user/photos/thumb_photo.jpg": 50,
-    "/home/user/photos/photo_edited.jpg": 90,
-    "/home/user/.local/share/trash/photo.jpg": -400,
-    "C:\\photos\\trash\\photo.jpg": -400,
-    "C:\\$Recycle.Bin\\S-1-5-21\\photo.jpg": -400,
+    "/srv/media/beach.jpg": 100,
+    "/srv/media/beach - Copy (2).jpg": 75,
+    "/srv/media/beach-copy.jpg": 75,
+    "/srv/media/beach_COPY.jpg": 75,
+    "/srv/media/beach (copy).png": 75,
+    "/srv/media/beach copy.png": 75,
+    "/srv/media/beach copy of mine.png": 75,
+    "/srv/media/copy beach.png": 75,
+    "/srv/media/copy_beach.png": 75,
+    "/srv/media/Copy of beach.png": 75,
+    "/srv/media/copybook.png": 100,
+    "/srv/media/scopy.png": 100,
+    "/srv/media/thumbnail.png": 50,
+    "/srv/media/beach edited.png": 90,
+    "/srv/media/beach_edited - copy thumb.png": 15,
+    "/srv/trash/beach.png": -400,
+    "/srv/.Trash-1000/files/beach.png": -400,
+    "/srv/recycled/beach.png": -400,
+    "D:\\$RECYCLE.BIN\\x\\beach.png": -400,
+    "D:\\trash\\beach_copy.png": -425,
+    "/srv/trashed/beach.png": 100,
 }
 
 
@@ -101,6 +110,249 @@ def test_warehouse(spark, tmp_path):
         w.read("nothing")
 
 
+def test_runs_are_saved_by_themselves(spark, tmp_path):
+    w = store.Warehouse(spark, str(tmp_path))
+
+    def save(k, waste, path):
+        run = f"r{k}"
+        w.save_run(
+            spark.sql(f"select '{run}' run_id, timestamp'2024-01-0{k}' timestamp, array('/v') scanned_paths, 3L total_files, 1L duplicate_groups, {waste}L wasted_bytes, 1.0D duration_seconds, 'completed' status"),
+            spark.sql(f"select {k}L id, '{run}' run_id, 1L cluster_id, 'EXACT_HASH' match_type, 'PHOTO' category, 1.0D similarity_score"),
+            spark.sql(f"select {k * 10}L id, {k}L cluster_id, '{path}' path, 'DUPLICATE' action, 5L size_bytes, cast(null as string) dimensions"),
+        )
+
+    save(1, 5, "/a")
+    before = {k: v for k, v in w.current().items() if k[1] == "r1"}
+    save(2, 7, "/b")
+    assert before.items() <= w.current().items()  # nothing of the first run was written again
+    save(1, 6, "/c")
+    assert sorted((r.run_id, r.wasted_bytes) for r in w.read("scan_runs").collect()) == [("r1", 6), ("r2", 7)]
+    assert sorted(r.path for r in w.read("duplicate_items").collect()) == ["/b", "/c"]
+    w.write(scan_runs=w.read("scan_runs"), duplicate_clusters=w.read("duplicate_clusters"), duplicate_items=w.read("duplicate_items"))
+    save(2, 8, "/d")  # now within tables written as a whole
+    assert sorted((r.run_id, r.wasted_bytes) for r in w.read("scan_runs").collect()) == [("r1", 6), ("r2", 8)]
+    assert sorted(r.path for r in w.read("duplicate_items").collect()) == ["/c", "/d"]
+    pointers = tmp_path / "_pointers"
+    assert len([p for p in os.listdir(pointers) if p.isdigit()]) <= w.KEPT_POINTERS + 1
+    (pointers / "notes").mkdir()  # what a writer that died has left there is no pointer
+    assert w.read("scan_runs").count() == 2
+
+
+def test_upsert_takes_the_newest(spark):
+    now = spark.createDataFrame([("/a", 1), ("/b", 1)], "path string, t int")
+    new = spark.createDataFrame([("/b", 3), ("/b", 2), ("/c", 1), ("/c", 1)], "path string, t int")
+    assert sorted(map(tuple, store.upsert(now, new, "path", "t").collect())) == [("/a", 1), ("/b", 3), ("/c", 1)]
+
+
+def test_reports_are_one_file(spark, tmp_path):
+    r = exact.duplicate_records(_files(spark, [("/a.jpg", "1"), ("/b \"x\".jpg", "1"), ("/c.jpg", "22"), ("/d.jpg", "22")]))
+    out = tmp_path / "report.csv"
+    for _ in range(2):  # a report is written over
+        reports.write_lines(reports.csv_lines(r), str(out), reports.CSV_HEADER)
+    lines = out.read_text().split("\n")
+    assert lines[0] == reports.CSV_HEADER and [x.split(",")[0] for x in lines[1:5]] == ["1", "1", "2", "2"] and lines[5:] == [""]
+    script = tmp_path / "clean.sh"
+    reports.write_lines(reports.script_lines(r), str(script), reports.script_head("trash", "/vault"))
+    text = script.read_text().split("\n")
+    assert text[:2] == ["#!/usr/bin/env bash", "set -euo pipefail"] and sum(x.startswith("mv ") for x in text) == 2
+    none = tmp_path / "none.csv"
+    reports.write_lines(reports.csv_lines(r.limit(0)), str(none), "head")
+    assert none.read_text().strip() in ("", "head")
+    assert os.listdir(tmp_path).count("report.csv") == 1 and not [p for p in os.listdir(tmp_path) if p.startswith("report.csv.")]
+
+
+def test_trash(spark, tmp_path):
+    folder = tmp_path / reports.TRASH_DIR
+    (folder / "sub").mkdir(parents=True)
+    (folder / "a").write_bytes(b"12")
+    (folder / "b").write_bytes(b"3")
+    (folder / "sub" / "c").write_bytes(b"4")
+    status = reports.trash_status(crawl.scan_files(spark, [str(tmp_path)])).first()
+    assert (status.items_count, status.total_bytes, status.trash_dirs) == (2, 3, 1)
+    assert reports.empty_trash([str(tmp_path), str(tmp_path / "nowhere")]) == (2, 3)
+    assert (folder / "sub" / "c").exists() and reports.empty_trash([str(tmp_path)]) == (0, 0)
+
+
+def test_content_is_not_exchanged(spark, sf):
+    from tidemark.plans import corpus
+
+    plan = exact.exact_members(corpus.files(spark, sf, content=True))._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.rindex("Exchange")]
+    assert "Exchange" in plan and "content#" not in above and "text#" not in above
+
+
+def test_strategies_and_plugins(spark):
+    f = spark.createDataFrame([("/a.jpg", 1, 10, "x", True, "PHOTO"), ("/b.jpg", 1, 20, "x", True, "PHOTO")], "path string, size_bytes bigint, modified_epoch bigint, content string, is_media boolean, category string")
+    kept = lambda p: [r.path for r in p.records(f).where("action = 'KEEP'").collect()]
+    assert kept(matchers.Pipeline().register(matchers.ExactMatcher())) == ["/a.jpg"]
+    assert kept(matchers.Pipeline(keeper=keepers.NewestKeeper()).register(matchers.ExactMatcher())) == ["/b.jpg"]
+
+    class Broken(matchers.ExactMatcher):
+        name, priority = "broken", 1
+
+        def records(self, files, keeper=None):
+            raise RuntimeError("no")
+
+    class Away(Broken):
+        def available(self):
+            return False, "not here"
+
+    with pytest.raises(PluginError, match="broken"):
+        matchers.Pipeline().register(Broken()).records(f)
+    assert kept(matchers.Pipeline().register(matchers.ExactMatcher()).register(Away())) == ["/a.jpg"]
+
+
+def test_models(spark, tmp_path):
+    toml = """default_model = "quick"
+[models.quick]
+backend = "blockhash"
+embedding_dim = 64
+[models.deep]
+backend = "onnx"
+embedding_dim = 512
+"""
+    (tmp_path / "models.toml").write_text(toml)
+    r = models.ModelRegistry.load(str(tmp_path / "models.toml"))
+    assert r.create().dim == 64 and r.create("perceptual").name == "perceptual_blockhash_64"
+    for name in ("deep", "nothing"):
+        with pytest.raises(ConfigError):
+            r.create(name)
+    for text in ("default_model = ", "x = 1", "default_model = 'a'\n[models.a]\nbackend = 1"):
+        with pytest.raises(ConfigError):
+            models.ModelRegistry.from_toml(text)
+    with pytest.raises(IoError):
+        models.ModelRegistry.load(str(tmp_path / "nowhere.toml"))
+    board = bytes(255 if (x // 4 + y // 4) % 2 else 0 for y in range(32) for x in range(32))
+    images = [("/board", b"P5\n# made\n32 32\n255\n" + board), ("/colour", b"P6 32 32 255\n" + bytes(v for v in board for _ in range(3))), ("/red", b"P6 8 8 255\n" + b"\xff\0\0" * 64), ("/text", b"hello"), ("/gone", None)]
+    got = {x.path: x.embedding for x in r.create().signatures(spark.createDataFrame(images, "path string, content binary")).collect()}
+    assert got["/board"] == got["/colour"] and sum(got["/board"]) == 32 and got["/red"] == [0.0] * 64 and got["/text"] is None and got["/gone"] is None
+    with pytest.raises(ModelError):
+        models.PerceptualBackend().embed(b"P5 9")
+
+
+def test_manifests(spark, tmp_path):
+    import json
+
+    record = {"group_id": 1, "match_type": "EXACT_HASH", "action": "KEEP", "category": "PHOTO", "similarity": "100%", "similarity_score": 1.0, "size_mb": 0.5, "path": "/a", "dimensions": None}
+    summary = {"total_files_scanned": 2, "total_duplicate_groups": 1, "wasted_gb": 0.1, "duration_seconds": 1.0, "scanned_paths": "odd", "groups": [{"records": [record, {**record, "action": "DUPLICATE", "path": "/b"}]}]}
+    (tmp_path / "s.json").write_text(json.dumps(summary))
+    (tmp_path / "runs.json").write_text(json.dumps([{"run_id": "r1", "summary_json": str(tmp_path / "s.json")}]))
+    path = manifest.find_summary(run_id="r1", history=str(tmp_path / "runs.json"))
+    assert manifest.load_summary(path)["scanned_paths"] == []
+    assert sorted((r.path, r.action) for r in manifest.load_records(spark, path).collect()) == [("/a", "KEEP"), ("/b", "DUPLICATE")]
+    (tmp_path / "bad.json").write_text("{")
+    for arguments in ({"run_id": "r2", "history": str(tmp_path / "runs.json")}, {"run_id": "r1", "history": str(tmp_path / "bad.json")}, {"path": str(tmp_path / "no")}, {}):
+        with pytest.raises(StoreError):
+            manifest.find_summary(**arguments)
+    (tmp_path / "list.json").write_text("[]")
+    for name in ("bad.json", "list.json"):
+        with pytest.raises(SerializationError):
+            manifest.load_summary(str(tmp_path / name))
+
+
+def test_watcher(spark, tmp_path):
+    files, told = tmp_path / "files", []
+    (files / "sub").mkdir(parents=True)
+    for name in ("a.jpg", "sub/a copy.jpg", "b.txt"):
+        (files / name).write_bytes(b"same" if "a" in name else b"other!")
+    w = store.Warehouse(spark, str(tmp_path / "store"))
+    watcher = watch.Watcher(spark, w, progress=lambda *x: told.append(x))
+    assert watcher.cycle() is None  # nothing is watched
+    asked = spark.createDataFrame([(str(files), True), (str(tmp_path / "gone"), True)], "path string, recursive boolean")
+    w.write(watched_paths=store.upsert_watched(w.read("watched_paths").select("id", "path", "recursive", "enabled"), asked).selectExpr("*", "cast(null as timestamp) last_scanned_at", "timestamp'2024-01-01' created_at"))
+    watcher.pause()
+    assert watcher.sweep() is None and w.read("scan_runs").count() == 0
+    first = watcher.trigger()  # a manual scan is carried out while paused
+    assert first and watcher.watched == {str(files)}
+    run = w.read("scan_runs").first()
+    assert (run.run_id, run.total_files, run.duplicate_groups, run.wasted_bytes, run.scanned_paths) == (first, 3, 1, 4, [str(files)])
+    assert w.read("file_index").count() == 3 and w.read("watched_paths").where("last_scanned_at is not null").count() == 2
+    (files / "b.txt").write_bytes(b"changed")
+    watcher.resume()
+    second = watcher.sweep()
+    index = {os.path.basename(r.path): r.last_seen_run for r in w.read("file_index").collect()}
+    assert index == {"a.jpg": first, "a copy.jpg": first, "b.txt": second} and w.read("duplicate_clusters").count() == 2
+    assert [s["status"] for s in watcher.statuses()] == ["completed"] and told[-1] == ("complete", 3, 3)
+    for f in (files / "a.jpg", files / "sub" / "a copy.jpg", files / "b.txt"):
+        f.unlink()
+    watcher.cycle()
+    assert store.latest_run(w.read("scan_runs")).first().total_files == 0
+
+
+def test_watcher_follows_events(spark, tmp_path):
+    files = tmp_path / "files"
+    files.mkdir()
+    (files / "a").write_bytes(b"1")
+    w = store.Warehouse(spark, str(tmp_path / "store"))
+    w.write(watched_paths=spark.sql(f"select 1L id, '{files}' path, true recursive, true enabled, cast(null as timestamp) last_scanned_at, timestamp'2024-01-01' created_at"))
+    events = spark.sql("select timestamp'2024-01-01 10:00:00' + make_interval(0, 0, 0, 0, 0, 0, i) event_ts, 'modify' kind, array('/f') paths from (select explode(array(0, 1, 600, 1200)) i)")
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    watcher = watch.Watcher(spark, w, gap="5 seconds")
+    watcher.start(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), str(tmp_path / "cp")).awaitTermination(120)
+    assert watcher.runs >= 1 and w.read("scan_runs").count() == watcher.runs
+
+
+def test_stream_of_files(spark, tmp_path):
+    import time
+
+    root = tmp_path / "files"
+    root.mkdir()
+    for name in ("a.jpg", "b.txt"):
+        (root / name).write_bytes(b"1")
+        os.utime(root / name, (1000, 1000))
+    got = []
+    start = lambda: crawl.stream_files(spark, [str(root)]).writeStream.foreachBatch(lambda d, _: got.append(sorted(os.path.basename(r.path) for r in d.collect()))).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = start()
+    for _ in range(100):
+        if any(got):
+            break
+        time.sleep(0.3)
+    (root / "c.mp4").write_bytes(b"2")
+    for _ in range(100):
+        if sum(map(len, got)) > 2:
+            break
+        time.sleep(0.3)
+    q.stop()
+    assert [x for x in got if x] == [["a.jpg", "b.txt"], ["c.mp4"]]
+
+
+def test_pauses_without_interval_join(spark):
+    e = spark.sql("select timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, i, 0) event_ts, i from (select explode(sequence(0, 300, 10)) i)")
+    p = spark.sql("select timestamp'2024-01-01 00:30:00' from_ts, timestamp'2024-01-01 02:00:00' to_ts union all select timestamp'2024-01-01 00:40:00', timestamp'2024-01-01 00:50:00' union all select timestamp'2024-01-01 04:00:00', timestamp'2024-01-01 04:00:00'")
+    d = watch.outside_pauses(e, p)
+    assert sorted(r.i for r in d.collect()) == [i for i in range(0, 301, 10) if not 30 <= i < 120]
+    assert "Join" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_content_classes(spark):
+    ensure_checkpoints(spark)
+    base = [f"w{i}" for i in range(100)]
+    texts = [(1, " ".join(base)), (2, "  ".join(base).upper()), (3, " ".join([*base[:50], "x", *base[51:]])), (4, " ".join(base[50:] + base[:50])), (5, None), (6, "one two"), (6, "one two three"), (7, "one two"), (None, "one two"), (8, "")]
+    got = {r.doc_id: r.class_id for r in content.content_classes(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 6, 8: 8}
+    assert content.content_classes(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from tidemark.__main__ import main
+
+    files = tmp_path / "files"
+    files.mkdir()
+    for name in ("a.jpg", "a - Copy.jpg"):
+        (files / name).write_bytes(b"123")
+    base = ["--warehouse", str(tmp_path / "store")]
+    said = lambda: json.loads(capsys.readouterr().out.strip().split("\n")[-1])
+    assert main([*base, "status"], spark) == 0 and said() == {"status": "none"}
+    assert main([*base, "scan", str(files), "--report", str(tmp_path / "r.csv")], spark) == 0
+    assert said()["duplicate_groups"] == 1 and len((tmp_path / "r.csv").read_text().split()) > 2
+    assert main([*base, "clean", "--base", str(tmp_path)], spark) == 0
+    assert os.listdir(files) == ["a.jpg"] and os.listdir(tmp_path / reports.TRASH_DIR) == ["a - Copy.jpg"]
+    assert main([*base, "prune", str(files)], spark) == 0 and said()["duplicate_groups"] == 0
+    assert main([*base, "prune", str(tmp_path / "nowhere")], spark) == 1
+
+
 def test_plans_spare_keepers(spark, tmp_path):
     a, b = tmp_path / "a.jpg", tmp_path / "b.jpg"
     a.write_bytes(b"1")
@@ -115,6 +367,16 @@ def test_plans_spare_keepers(spark, tmp_path):
         reports.carry_out(ask.selectExpr("'permanent' op", "path src", "null dst", "1 size_bytes"), keepers)
 
 
+def test_hamming_clusters(spark):
+    ensure_checkpoints(spark)
+    codes = [(1, 0), (2, 0), (3, 7), (4, 7 << 30), (5, (7 << 30) | 3), (6, -1)]
+    d = spark.createDataFrame(codes, "id bigint, code bigint")
+    assert {r.id: r.label for r in similarity.hamming_clusters(d, 3).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1}
+    for bands in (2, 5, 16):
+        got = {(r.x, r.y) for r in similarity.code_pairs(d.select("code").distinct(), 3, bands).collect()}
+        assert got == {(0, 7), (0, 7 << 30), (7 << 30, (7 << 30) | 3)}
+
+
 def test_hamming_pairs_by_bands(spark):
     codes = [(i, c) for i, c in enumerate([0, 1, 3, -1, 0x0F0F, 0x0F0E, 1 << 62])]
     got = {(r.a, r.b): r.distance for r in similarity.hamming_pairs(spark.createDataFrame(codes, "id bigint, code bigint"), 3).collect()}

@@ -50,7 +50,8 @@ def write_lines(lines: DataFrame, path: str, head: str = "") -> None:
     def with_head(batches):
         if head:
             yield pa.RecordBatch.from_arrays([pa.array([head], pa.string())], names=["value"])
-        yield from batches
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0)], names=["value"])
 
     aside = f"{path}.{uuid.uuid4().hex}"
     d.mapInArrow(with_head, "value string").write.text(aside)

@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.types import StructType
 
 from tidemark.functions import exprs as X
 
@@ -57,29 +58,29 @@ class _Reader(DataSourceReader):
                     continue
 
 
-class _StreamReader(SimpleDataSourceStreamReader):
-    """Files by time of change: a batch holds what changed since the last one. A second is read once it is over."""
+class _Changed(InputPartition):
+    def __init__(self, folder: _Folder, after: int, until: int):
+        super().__init__((folder.path, after, until))
+        self.folder, self.after, self.until = folder, after, until
 
-    def __init__(self, reader: _Reader):
-        self.files = reader
+
+class _StreamReader(DataSourceStreamReader):
+    """Files by time of change: a batch holds what changed since the last one, a second once it is over. Folders are read by tasks."""
+
+    def __init__(self, files: _Reader):
+        self.files = files
 
     def initialOffset(self) -> dict:
         return {"until": -1}
 
-    def _changed(self, after: int, until: int) -> Iterator[tuple]:
-        seen = set()
-        for folder in self.files.partitions():
-            for row in self.files.read(folder):
-                if after < row[2] <= until and row[0] not in seen:
-                    seen.add(row[0])
-                    yield row
+    def latestOffset(self) -> dict:
+        return {"until": int(time.time()) - 1}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        end = {"until": max(start["until"], int(time.time()) - 1)}
-        return self._changed(start["until"], end["until"]), end
+    def partitions(self, start: dict, end: dict) -> list[_Changed]:
+        return [_Changed(f, start["until"], end["until"]) for f in self.files.partitions()]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._changed(start["until"], end["until"])
+    def read(self, partition: _Changed) -> Iterator[tuple]:
+        return (row for row in self.files.read(partition.folder) if partition.after < row[2] <= partition.until)
 
 
 class CrawlSource(DataSource):
@@ -92,7 +93,7 @@ class CrawlSource(DataSource):
     def schema(self) -> str:
         return "path string, size_bytes bigint, modified_epoch bigint"
 
-    def simpleStreamReader(self, schema) -> _StreamReader:
+    def streamReader(self, schema) -> _StreamReader:
         return _StreamReader(self.reader(schema))
 
     def reader(self, schema) -> _Reader:
@@ -115,7 +116,7 @@ def scan_files(spark: SparkSession, roots: list[str], recursive: bool = True, ex
 
 
 def stream_files(spark: SparkSession, roots: list[str], recursive: bool = True) -> DataFrame:
-    """New and changed files below the roots, as a stream of catalog rows. A file changed again comes again."""
+    """New and changed files below the roots, as a stream of catalog rows. A file changed again comes again; one below two roots comes twice."""
     for r in roots:
         if not os.path.exists(r):
             raise FileNotFoundError(r)
@@ -145,4 +146,4 @@ def with_content(catalog: DataFrame) -> DataFrame:
                     out.append(None)
             yield pdf.assign(content=pd.Series(out, dtype=object, index=pdf.index))
 
-    return catalog.mapInPandas(read, catalog.schema.add("content", "binary")).where("content is not null")
+    return catalog.mapInPandas(read, StructType([*catalog.schema.fields]).add("content", "binary")).where("content is not null")
