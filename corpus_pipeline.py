@@ -18,30 +18,34 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts. It learns from the labelled rows of its input that are not held out."""
+    """Documents that the classifier accepts. It learns from the labelled rows of its input that are not held out.
+
+    Null and empty texts are scored like any other; repeated rows have the same verdict. Without labels nothing is accepted.
+    """
     model = rule_ensemble.train(docs, table(spark, sf_dir, "labels"))
     return rule_ensemble.score(docs, model).where("predicted = 1").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the one of the least id. A document without an id stays."""
+    """One document of each class: the one of the least id. A document without an id stays, as does one without words;
+    rows that share an id are judged by its first text, and stay or go together."""
     others = near_dedup.near_duplicates(docs).where("doc_id <> class_id").select("doc_id")
     return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts less the bytes of passages that stand elsewhere too; documents of which nothing is left go."""
+    """Texts less the bytes of passages that stand elsewhere too; documents of which nothing is left go. Null and empty texts stay as they are."""
     out = suffix_dedup.dedup_substrings(docs).where("n_removed = 0 or length(text) > 0")
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated by their Poisson counts towards equal shares of the sources, in shuffled order."""
+    """Documents repeated by their Poisson counts towards equal shares of the sources, in shuffled order. A null source is one of its own."""
     return source_mixing.mix(docs).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document, with digests of ids and of what they decode to."""
+    """The ids of each document and their byte offsets, with digests of ids and of what they decode to. A null text has no ids."""
     return byte_bpe.encode_documents(docs.select("doc_id", "source", "text"), tokenizer_path("byte_bpe_multi_50k.tiktoken")).drop("text")
 
 
