@@ -5,6 +5,9 @@ probes segment values at growing radius, segment after segment. Once segments 0.
 have been searched to radius r and the others to r - 1, every code within distance
 m * r + s has been met; a query whose kth verified distance is covered stops.
 
+Where the values to probe outnumber the codes there are, or are too many to list, queries that
+are still open are compared with all codes instead, in blocks of queries: exact as well.
+
 Equal codes are one entry with their k least ids, so copies cost nothing, and a code
 met through several segments is taken at the first one only, which its distances by
 segment tell, so candidates need no de-duplication.
@@ -23,6 +26,10 @@ from .common import Stash
 
 BITS = 64
 K = 10
+#: Values of a segment that are listed at most; beyond, open queries are compared with all codes.
+MAX_FLIPS = 100_000
+#: Open queries compared with a code at once.
+SCAN_BLOCK = 256
 
 
 def sign_code(vector: Column | str) -> Column:
@@ -53,6 +60,9 @@ class Segments:
     def mask(self, s: int) -> Column:
         return F.lit(_signed(((1 << self.edges[s + 1]) - 1) ^ ((1 << self.edges[s]) - 1))).cast("long")
 
+    def n_flips(self, s: int, r: int) -> int:
+        return math.comb(self.edges[s + 1] - self.edges[s], r)
+
     def flips(self, s: int, r: int) -> Column:
         """All values of the segment's width with r bits set, as an array."""
         width = self.edges[s + 1] - self.edges[s]
@@ -69,6 +79,15 @@ class Segments:
                 yield [(r, s) for s in range(a, b)], self.m * r + b - 1
 
 
+def scan(active: DataFrame, classes: DataFrame, n_active: int) -> DataFrame:
+    """``q, code, least, n, d``: all codes within the bound of each query, from all codes and all queries, block by block."""
+    n_blocks = -(-n_active // SCAN_BLOCK)
+    blocks = active.groupBy(F.pmod(F.xxhash64("q"), F.lit(n_blocks)).cast("int").alias("b")).agg(F.collect_list(F.struct("q", "bound")).alias("qs"))
+    codes = classes.select("code", F.element_at("ids", 1).alias("least"), F.size("ids").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"))
+    near = F.filter(F.transform("qs", lambda x: F.struct(x["q"].alias("q"), x["bound"].alias("bound"), hamming(x["q"], F.col("code")).alias("d"))), lambda x: x["d"] <= x["bound"])
+    return codes.join(blocks, "b").select("code", "least", "n", F.explode(near).alias("x")).select("x.q", "code", "least", "n", "x.d")
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = K, id_column: str = "id", code_column: str = "code") -> DataFrame:
     """``query_id, rank, id, distance``: for each query the k rows of least (distance, id).
 
@@ -95,6 +114,11 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, id_column: str = "id
     found = spark.createDataFrame([], found_schema)
     done = []  # found rows of queries that have stopped
     for step, (probed, covered) in enumerate(seg.steps(), 1):
+        if max(seg.n_flips(s, r) for r, s in probed) > MAX_FLIPS or sum(seg.n_flips(s, r) for r, s in probed) > n_codes:
+            met = scan(active, classes, active.count())
+            best = Window.partitionBy("q").orderBy("d", "least")
+            done.append(stash.save(met.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k).drop("rn"), "scanned"))
+            break
         probes = None
         for r, s in probed:
             p = active.select("q", "bound", F.lit(s).alias("s"), F.lit(r).alias("r"), F.explode(seg.flips(s, r)).alias("f"))
