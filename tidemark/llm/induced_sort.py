@@ -279,6 +279,41 @@ class _Packed:
         return np.minimum(out, limit)
 
 
+def _star_prefixes(packed: _Packed, stars: np.ndarray, ordered: np.ndarray, cap: int) -> np.ndarray:
+    """Common prefix of each of ``ordered`` with the one before it; ``stars``: the same places, rising.
+
+    If d after the suffix before a place there is one of ``stars`` too, the place d further on has at most d less
+    in common with the suffix before it. So only every eighth place is compared from its start, and those after
+    it from where that bound ends.
+    """
+    common = np.zeros(len(stars), np.uint16)
+    if len(stars) < 2:
+        return common
+    before = np.empty(len(stars), np.int64)  # by place: the suffix before it in order; the first one's is itself
+    rank = np.empty(len(stars), np.int64)
+    rank[np.searchsorted(stars, ordered)] = np.arange(len(stars))
+    before[:] = ordered[np.maximum(rank - 1, 0)]
+    known = np.zeros(len(stars), np.int64)
+    some = np.arange(0, len(stars), 8)
+    some = some[rank[some] > 0]
+    known[some] = packed.common(stars[some], before[some], cap)
+    last = np.zeros(len(stars), np.int64)
+    last[some] = some
+    last = np.maximum.accumulate(last)
+    rest = np.ones(len(stars), bool)
+    rest[some] = False
+    rest = np.flatnonzero(rest & (rank > 0))
+    further = stars[rest] - stars[last[rest]]
+    least = np.maximum(known[last[rest]] - further, 0)
+    is_star = np.zeros(int(stars[-1]) + 2, bool)
+    is_star[stars] = True
+    least[~is_star[np.minimum(before[last[rest]] + further, len(is_star) - 1)]] = 0
+    known[rest] = least + packed.common(stars[rest] + least, before[rest] + least, cap - least)
+    common[rank] = known
+    common[0] = 0
+    return common
+
+
 def sort_suffixes(text: np.ndarray, cap: int = 65534, budget: int = QUEUE_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of ``text`` (small non-negative integers) in order; each one's common prefix with the one before, at most ``cap``.
 
@@ -314,7 +349,6 @@ def sort_suffixes(text: np.ndarray, cap: int = 65534, budget: int = QUEUE_BYTES)
         sorted_stars = stars[_sort_names(name[stars])]
     else:
         sorted_stars = by_piece
-    common = np.zeros(len(stars), np.uint16)
-    common[1:] = packed.common(sorted_stars[:-1], sorted_stars[1:], cap)
+    common = _star_prefixes(packed, stars, sorted_stars, cap)
     order, common = _induce(text, rising, runs, sorted_stars, common, n_chars, cap, budget)
     return order[1:], common[1:]

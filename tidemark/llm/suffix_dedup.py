@@ -270,9 +270,10 @@ def remove_bytes(docs: DataFrame, spans: DataFrame, with_text: bool) -> DataFram
 def repeated_spans(docs: DataFrame, length: int, stash: Stash) -> DataFrame:
     """``id, start, end`` (bytes): spans, which may overlap, whose strings of ``length`` bytes also start elsewhere. ``docs``: id, text."""
     found = stash.save(find_leads(docs, length), "leads")
-    shared = found.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("lead")
+    # written first, so that the join is nothing but one, and a lead that very many texts have can be split in it
+    shared = stash.save(found.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("lead"), "again")
     again = stash.save(found.join(shared, "lead"), "shared")
-    stash.drop("leads")
+    stash.drop("leads", "again")
     kinds = stash.save(again.groupBy("lead", "context").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "at", "start", "end")).alias("one")), "contexts")
     whole = again.join(kinds.where("times > 1").select("lead", "context"), ["lead", "context"])
     whole = stash.save(whole.select("id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")), "whole")
