@@ -531,6 +531,10 @@ def test_top_k(spark):
             near = sorted(((c ^ x) & (1 << 64) - 1).bit_count() * 10**6 + i for i, x in rows if x is not None)[:7]
             expected += [(q, k + 1, v % 10**6, v // 10**6) for k, v in enumerate(near)]
     assert sorted(tuple(r) for r in got) == sorted(expected)
+    with pytest.MonkeyPatch.context() as m:  # the scan of open queries from the second step on, in small blocks
+        m.setattr(hamming_search, "MAX_FLIPS", 100)
+        m.setattr(hamming_search, "SCAN_BLOCK", 3)
+        assert sorted(tuple(r) for r in hamming_search.search(d, d.where("id % 20 = 0"), k=7).collect()) == sorted(expected)
     few = spark.createDataFrame([(0, 1), (1, 7)], "id bigint, code bigint")
     assert hamming_search.search(few, few.where("id = 0"), k=7).count() == 2
     assert hamming_search.search(few.where("id > 5"), few, k=7).count() == 0
@@ -564,6 +568,56 @@ def test_poisson_counts(spark):
         assert abs(r["count"] - 10000) < 500
 
 
+CLASHES = ["id", "n_words", "n_lines", "parts", "cdf", "row", "rest", "sig", "keys", "key", "n", "c", "l", "label", "rate", "weight", "start", "spans", "left", "words", "fail", "bits", "rank", "size"]
+
+
+@pytest.fixture(scope="session")
+def odd_rows(spark):
+    """Null and repeated ids, repeated rows, long texts with and without blanks, and columns whose names operators use inside."""
+    rng = random.Random(31)
+    words = " ".join(rng.choice(("one", "two", "three", "license", "x" * 30, "é", "<b>", "\n")) for _ in range(200_000))
+    texts = [(1, "a plain text of a few words"), (1, "a plain text of a few words"), (1, "another"), (None, "a plain text of a few words"), (None, None), (2, None), (3, ""), (4, words), (5, "é字" * 250_000), (6, " " * 300_000), (7, "<p>" + "<a " * 200_000)]
+    columns = ", ".join(f"{c} int" for c in CLASHES)
+    rows = [(i, t, "s" if k % 2 else None, *range(k, k + len(CLASHES))) for k, (i, t) in enumerate(texts)]
+    return spark.createDataFrame(rows, f"doc_id bigint, text string, source string, {columns}").repartition(3).cache()
+
+
+def _op_calls(docs, spark):
+    path = public_tokenizers.path
+    model = rule_ensemble.train(docs, spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id bigint, quality int"))
+    return {
+        "op1": lambda: rule_ledger.apply_policy(rule_ledger.build_ledger(docs)),
+        "op3": lambda: suffix_dedup.dedup_substrings(docs),
+        "op4": lambda: token_counts.count_tokens(docs, path("piece_bpe_32k.model")),
+        "op5": lambda: license_scan.scan_licenses(docs),
+        "op6": lambda: html_extract.extract_text(docs.withColumnRenamed("text", "html")),
+        "op7": lambda: byte_bpe.encode_documents(docs, path("byte_bpe_multi_50k.tiktoken")),
+        "op9": lambda: rule_ensemble.score(docs, model),
+        "op10": lambda: source_mixing.mix(docs, epochs=3),
+    }
+
+
+@pytest.mark.parametrize("op", ["op1", "op3", "op4", "op5", "op6", "op7", "op9", "op10"])
+def test_odd_rows_keep_their_columns(op, odd_rows, spark):
+    made = {"op1": {"n_words", "n_lines"}, "op5": {"n_words"}}.get(op, set())
+    kept = [c for c in CLASHES if c not in made]
+    out = _op_calls(odd_rows, spark)[op]()
+    got = Counter(tuple(r) for r in out.select("doc_id", *kept).collect())
+    expected = Counter(tuple(r) for r in odd_rows.select("doc_id", *kept).collect())
+    if op == "op10":
+        assert set(got) <= set(expected) and got
+    else:
+        assert got == expected
+
+
+def test_odd_rows_of_pairs(odd_rows, spark):
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(odd_rows).collect()}
+    assert got == {i: i for i in range(1, 8)}
+    codes = odd_rows.select("doc_id", F.length("text").cast("long").alias("code"), "n", "rank", "id")
+    found = hamming_search.search(codes, codes.where("doc_id = 1"), k=3, id_column="doc_id").collect()
+    assert {r.query_id for r in found} == {1} and max(Counter((r.query_id, r["rank"]) for r in found).values()) <= 3
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(name, spark, sf, tmp_path):
     for t in ("documents", "labels", "pages", "embeddings"):
@@ -571,6 +625,67 @@ def test_empty_tables(name, spark, sf, tmp_path):
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
 
 
+def plain_pipeline(spark, sf):
+    """What the pipeline keeps, by brute force: each stage's rule applied in Python to what its predecessor kept."""
+    import tiktoken
+
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    verdict = {r.doc_id: r.predicted for r in QUERIES["op9_quality_classifier"](spark, sf).select("doc_id", "predicted").collect()}
+    texts = {i: r.text for i, r in docs.items() if verdict[i]}
+    found = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert check_classes(texts, {r.doc_id: r.class_id for r in found}, 0.9) is not None
+    texts = {r.doc_id: texts[r.doc_id] for r in found if r.doc_id == r.class_id}
+    raw = {i: (t or "").encode() for i, t in texts.items()}
+    seen = Counter(t[k : k + 200] for t in raw.values() for k in range(len(t) - 199))
+    left = {}
+    for i, t in raw.items():
+        mark = bytearray(len(t))
+        for k in range(len(t) - 199):
+            if seen[t[k : k + 200]] > 1:
+                mark[k : k + 200] = b"\1" * 200
+        rest = bytes(c for c, m in zip(t, mark, strict=True) if not m)
+        if not any(mark) or rest.decode("utf-8", "ignore"):
+            left[i] = rest.decode("utf-8", "ignore")
+    total = Counter()
+    for i, t in left.items():
+        total[docs[i].source] += len(t.encode())
+    out = Counter()
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.rank_encoder(path).rank, special_tokens={})
+    for i, t in left.items():
+        rate = sum(total.values()) / sum(n > 0 for n in total.values()) / total[docs[i].source]
+        assert rate <= 64
+        u = (int(hashlib.md5(f"mix-1|{i}|0".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        p = cdf = np.exp(-rate)
+        n = 0
+        while cdf < u:
+            n += 1
+            p *= rate / n
+            cdf += p
+        ids = lib.encode_ordinary(t)
+        out[i, docs[i].source, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()] += n
+    return +out
+
+
+def test_pipeline_against_brute_force(spark, sf):
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert Counter((r.doc_id, r.source, r.n_tokens, r.ids_sha256) for r in got) == plain_pipeline(spark, sf)
+
+
+def test_pipeline_of_odd_tables(spark, sf, tmp_path):
+    import corpus_pipeline
+
+    spark.read.parquet(f"{sf}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    rows = spark.sql("select * from values (1L, 'a text', 'en', 's', 6L), (1L, 'a text', 'en', 's', 6L), (null, 'b text', null, null, 6L), (2L, null, 'en', 's', null) t(doc_id, text, lang, source, n_chars)")
+    for _, stage in corpus_pipeline.STAGES[1:4]:  # without labels the first stage keeps nothing
+        out = stage(spark, rows, str(tmp_path))
+        assert out.columns == rows.columns and {r.doc_id for r in out.collect()} <= {1, 2, None}
+
+
 def test_pipeline(spark, sf, tmp_path):
     import corpus_pipeline
 
