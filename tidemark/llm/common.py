@@ -57,13 +57,22 @@ class Stash:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 
+    def _at(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def keep(self, *names: str) -> None:
+        """Delete all tables but these: those that the result reads, which is evaluated later."""
+        root, fs = self._at(self.root)
+        found = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        self.drop(*[n for n in found if n not in names])
+
     def drop(self, *names: str) -> None:
         """Delete tables, and let the context clean the shuffle files of jobs that are over."""
         jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(conf).delete(p, True)
+            p, fs = self._at(self.path(name))
+            fs.delete(p, True)
         gc.collect()
         jvm.System.gc()
 

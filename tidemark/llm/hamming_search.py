@@ -150,6 +150,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, id_column: str = "id
     every = done[0]
     for d in done[1:]:
         every = every.unionByName(d)
+    every = stash.save(every.select("q", "code", "d"), "every")
+    stash.keep("classes", "every")
     each = every.join(classes, "code").select("q", "d", F.explode("ids").alias("id"))
     order = Window.partitionBy("q").orderBy("d", "id")
     lists = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "d"))).alias("near"))

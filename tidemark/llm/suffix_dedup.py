@@ -285,7 +285,8 @@ def repeated_spans(docs: DataFrame, length: int, stash: Stash) -> DataFrame:
     sorted_spans = stash.save(sort_shards(shards, length), "sorted")
     hot = mixed.where(F.col("n_contexts") > HOT_CONTEXTS)
     if not hot.isEmpty():
-        sorted_spans = sorted_spans.unionByName(_hot_spans(cut_contexts(hot, docs), length))
+        sorted_spans = sorted_spans.unionByName(stash.save(_hot_spans(cut_contexts(hot, docs), length), "hot"))
+    stash.keep("numbered", "whole", "sorted", "hot")
     return whole.unionByName(sorted_spans)
 
 
