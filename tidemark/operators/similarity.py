@@ -81,13 +81,16 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def cosine_pairs(vectors: DataFrame, least: float, blocks: int = 4) -> DataFrame:
+def cosine_pairs(vectors: DataFrame, least: float, block_rows: int = 4096) -> DataFrame:
     """``a, b, similarity`` of all pairs of at least ``least``, exactly. ``vectors``: id, vec.
 
-    Blocks of rows meet block by block: a row goes to one cell for each block, on an equi-join of
-    cells, so the work is spread over blocks squared tasks and nothing is broadcast.
+    Blocks of about ``block_rows`` rows meet block by block: a row goes to one cell for each block, on an equi-join
+    of cells, so a cell's work has a bound and nothing is broadcast. All pairs are compared: at low thresholds in 64
+    dimensions no index rules any out for certain, so the work grows with the square of the rows.
     """
-    v = vectors.where("vec is not null").withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    v = vectors.where("vec is not null")
+    blocks = max(4, -(-v.count() // block_rows))
+    v = v.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     left = v.select(F.col("id").alias("a"), F.col("vec").alias("va"), "blk", F.explode(every).alias("other"))
     right = v.select(F.col("id").alias("b"), F.col("vec").alias("vb"), F.col("blk").alias("other"), F.explode(every).alias("blk"))

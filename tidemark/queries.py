@@ -31,7 +31,9 @@ def _run_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _tables(spark: SparkSession, sf: str) -> store.RunTables:
-    r = _run_records(spark, sf)
+    """The tables of the runs; records are written once, as several tables are made of them."""
+    ensure_checkpoints(spark)
+    r = _run_records(spark, sf).checkpoint()
     return store.RunTables(store.runs_of(corpus.runs(spark, sf), r), store.clusters_of(r), store.items_of(r))
 
 
