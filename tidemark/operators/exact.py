@@ -49,26 +49,27 @@ def ranked_members(members: DataFrame, by: tuple[str, ...] = (), keeper: KeeperS
 
 
 def numbered_members(ranked: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Add ``group_id``: clusters in the order (size descending, digest), from 1.
+    """Add ``group_id``: clusters in the order (size descending, digest), from 1; and ``member_no``: members in the order (group_id, rank), from 1.
 
     Numbers come from counts by size, so only one row a size meets in one task, not one a cluster.
     """
-    clusters = ranked.where("rank = 1").select(*by, "size_bytes", "digest")
-    sizes = clusters.groupBy(*by, "size_bytes").agg(F.count(F.lit(1)).alias("n"))
+    clusters = ranked.where("rank = 1").select(*by, "size_bytes", "digest", "n_members")
+    sizes = clusters.groupBy(*by, "size_bytes").agg(F.count(F.lit(1)).alias("n"), F.sum("n_members").alias("m"))
     before = Window.partitionBy(*by).orderBy(F.desc("size_bytes")).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(*by, "size_bytes", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    sizes = sizes.select(*by, "size_bytes", earlier("n", before).alias("groups_before"), earlier("m", before).alias("members_before"))
     within = Window.partitionBy(*by, "size_bytes").orderBy("digest")
-    numbers = clusters.withColumn("k", F.row_number().over(within)).join(sizes, [*by, "size_bytes"])
-    numbers = numbers.select(*by, "size_bytes", "digest", (F.col("offset") + F.col("k")).alias("group_id"))
-    return ranked.join(numbers, [*by, "size_bytes", "digest"])
+    numbers = clusters.withColumns({"k": F.row_number().over(within), "mk": earlier("n_members", within.rowsBetween(Window.unboundedPreceding, -1))}).join(sizes, [*by, "size_bytes"])
+    numbers = numbers.select(*by, "size_bytes", "digest", (F.col("groups_before") + F.col("k")).alias("group_id"), (F.col("members_before") + F.col("mk")).alias("first_no"))
+    return ranked.join(numbers, [*by, "size_bytes", "digest"]).withColumn("member_no", F.col("first_no") + F.col("rank")).drop("first_no")
 
 
 def duplicate_records(files: DataFrame, by: tuple[str, ...] = (), keeper: KeeperStrategy | None = None) -> DataFrame:
-    """One row a member of a cluster, in the layout of a duplicate record."""
+    """One row a member of a cluster, in the layout of a duplicate record, and ``rank``, ``size_bytes`` and ``member_no``."""
     d = numbered_members(ranked_members(exact_members(files, by), by, keeper), by)
     return d.select(
         *by, "group_id", F.lit(EXACT).alias("match_type"), "action", "category", F.lit("100%").alias("similarity"), F.lit(1.0).alias("similarity_score"),
-        X.size_mb(F.col("size_bytes")).alias("size_mb"), "path", F.lit(None).cast("string").alias("dimensions"), "rank", "size_bytes",
+        X.size_mb(F.col("size_bytes")).alias("size_mb"), "path", F.lit(None).cast("string").alias("dimensions"), "rank", "size_bytes", "member_no",
     )
 
 

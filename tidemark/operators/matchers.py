@@ -33,7 +33,7 @@ class Matcher(ABC):
 
     @abstractmethod
     def records(self, files: DataFrame, keeper: KeeperStrategy | None = None) -> DataFrame:
-        """Records with ``rank`` and ``size_bytes``; group ids from 1."""
+        """Records with ``rank``, ``size_bytes`` and ``member_no``; group ids and member numbers from 1."""
 
 
 class ExactMatcher(Matcher):
@@ -58,7 +58,7 @@ class VisionMatcher(Matcher):
         return F.col("is_media")
 
     def records(self, files: DataFrame, keeper: KeeperStrategy | None = None) -> DataFrame:
-        return files.sparkSession.createDataFrame([], RECORD).withColumns({"rank": F.lit(0), "size_bytes": F.lit(0).cast("long")})
+        return files.sparkSession.createDataFrame([], RECORD).withColumns({"rank": F.lit(0), "size_bytes": F.lit(0).cast("long"), "member_no": F.lit(0).cast("long")})
 
 
 @dataclass
@@ -87,8 +87,8 @@ class Pipeline:
             if out is None:
                 out = found
             else:
-                last = out.agg(F.coalesce(F.max("group_id"), F.lit(0)).alias("last")).withColumn("j", F.lit(1))
-                moved = found.withColumn("j", F.lit(1)).join(last, "j").withColumn("group_id", F.col("group_id") + F.col("last"))
-                out = out.unionByName(moved.drop("j", "last"))
+                last = out.agg(F.coalesce(F.max("group_id"), F.lit(0)).alias("g"), F.coalesce(F.max("member_no"), F.lit(0)).alias("m")).withColumn("j", F.lit(1))
+                moved = found.withColumn("j", F.lit(1)).join(last, "j").withColumns({"group_id": F.col("group_id") + F.col("g"), "member_no": F.col("member_no") + F.col("m")})
+                out = out.unionByName(moved.drop("j", "g", "m"))
             left = exact.prune_matched(left, found)
         return out

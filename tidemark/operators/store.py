@@ -18,8 +18,8 @@ from tidemark.errors import StoreError
 from tidemark.functions import exprs as X
 from tidemark.schemas import TABLES
 
-#: Clusters of a run are numbered within it; the run's number comes first.
-RUN_STRIDE, ITEM_STRIDE = 10**9, 10**6
+#: Clusters and items of a run are numbered within it; the run's number comes first, with room for 2**40 of each and 2**22 runs.
+RUN_STRIDE = 1 << 40
 
 
 @dataclass
@@ -38,7 +38,7 @@ def clusters_of(records: DataFrame) -> DataFrame:
 
 def items_of(records: DataFrame) -> DataFrame:
     cluster = F.col("run_no") * RUN_STRIDE + F.col("group_id")
-    return records.select((cluster * ITEM_STRIDE + F.col("rank")).alias("id"), cluster.alias("cluster_id"), "path", "action", "size_bytes", "dimensions")
+    return records.select((F.col("run_no") * RUN_STRIDE + F.col("member_no")).alias("id"), cluster.alias("cluster_id"), "path", "action", "size_bytes", "dimensions")
 
 
 def runs_of(files: DataFrame, records: DataFrame) -> DataFrame:

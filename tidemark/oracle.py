@@ -41,8 +41,8 @@ rec AS (SELECT *, CASE WHEN rank = 1 THEN 'KEEP' ELSE 'DUPLICATE' END AS action,
 
 ONE = f"WITH {FILES}, " + _members("s AS (SELECT * FROM f)", "")
 ALL = f"WITH {FILES}, " + _members("s AS (SELECT f.*, CAST(k AS BIGINT) AS run_no, 'run_' || CAST(k AS VARCHAR) AS run_id FROM f, (SELECT unnest([1, 2, 3]) AS k) ks WHERE doc_id % 4 <= k)", "run_id, run_no") + """,
-cl AS (SELECT run_no * 1000000000 + group_id AS id, run_id, group_id AS cluster_id, 'EXACT_HASH' AS match_type, category, 1.0::DOUBLE AS similarity_score FROM rec WHERE rank = 1),
-it AS (SELECT (run_no * 1000000000 + group_id) * 1000000 + rank AS id, run_no * 1000000000 + group_id AS cluster_id, path, action, size_bytes FROM rec),
+cl AS (SELECT run_no * 1099511627776 + group_id AS id, run_id, group_id AS cluster_id, 'EXACT_HASH' AS match_type, category, 1.0::DOUBLE AS similarity_score FROM rec WHERE rank = 1),
+it AS (SELECT run_no * 1099511627776 + row_number() OVER (PARTITION BY run_no ORDER BY group_id, rank) AS id, run_no * 1099511627776 + group_id AS cluster_id, path, action, size_bytes FROM rec),
 ru AS (SELECT s.run_id, count(*) AS total_files FROM s GROUP BY 1),
 rr AS (SELECT ru.run_id, total_files, coalesce(g, 0) AS duplicate_groups, CAST(coalesce(w, 0) AS BIGINT) AS wasted_bytes, 'completed' AS status FROM ru LEFT JOIN
   (SELECT run_id, count(*) FILTER (rank = 1) AS g, sum(size_bytes) FILTER (rank > 1) AS w FROM rec GROUP BY 1) x USING (run_id)),
@@ -122,10 +122,10 @@ lpad(CAST(size_bytes // 600 AS VARCHAR), CAST(greatest(2, length(CAST(size_bytes
     "cluster_count": f"{ALL} SELECT run_id, category, count(*) AS n FROM cl GROUP BY ALL",
     "groups_by_match_type": f"{ALL} SELECT run_id, match_type, count(*) AS n_groups FROM cl GROUP BY ALL",
     "distinct_duplicate_paths": f"{ALL} SELECT DISTINCT path FROM it WHERE action = 'DUPLICATE'",
-    "keeper_override": f"{ALL} SELECT id, path, CASE WHEN cluster_id <> 3000000001 THEN action WHEN id % 1000000 = 2 THEN 'KEEP' ELSE 'DUPLICATE' END AS action FROM it",
+    "keeper_override": f"{ALL} SELECT id, path, CASE WHEN cluster_id <> 3298534883329 THEN action WHEN id = 3298534883330 THEN 'KEEP' ELSE 'DUPLICATE' END AS action FROM it",
     "runs_upsert": f"{ALL} SELECT run_id, total_files, CASE run_id WHEN 'run_2' THEN 'repeated' ELSE status END AS status FROM rr UNION ALL SELECT 'run_4', total_files, status FROM rr WHERE run_id = 'run_2'",
     "items_added": f"""{ALL} SELECT id, cluster_id, path, size_bytes FROM it UNION ALL
-SELECT (SELECT coalesce(max(id), 0) FROM it) + row_number() OVER (ORDER BY path), 1000000001, path, size_bytes FROM f WHERE is_media""",
+SELECT (SELECT coalesce(max(id), 0) FROM it) + row_number() OVER (ORDER BY path), 1099511627777, path, size_bytes FROM f WHERE is_media""",
     "items_after_delete": f"{ALL} SELECT id, path, action FROM it2",
     "freed_space": f"{ALL} SELECT count(*) FILTER (action = 'DUPLICATE') AS removed, CAST(coalesce(sum(size_bytes) FILTER (action = 'DUPLICATE'), 0) AS BIGINT) AS freed_bytes FROM it WHERE path IN (SELECT path FROM del)",
     "exhausted_clusters": f"{ALL} SELECT cl.id, run_id FROM cl LEFT JOIN it2 ON it2.cluster_id = cl.id AND it2.action = 'DUPLICATE' GROUP BY ALL HAVING count(it2.id) = 0",

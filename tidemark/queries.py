@@ -191,7 +191,7 @@ def keeper_choice(spark, sf):
 
 @query
 def duplicate_records(spark, sf):
-    return _records(spark, sf).drop("rank", "size_bytes")
+    return _records(spark, sf).drop("rank", "size_bytes", "member_no")
 
 
 @query
@@ -325,7 +325,7 @@ def keeper_override(spark, sf):
     """The second file of run 3's first cluster becomes the one to keep; all items afterwards."""
     items = store.items_of(_run_records(spark, sf))
     first = 3 * store.RUN_STRIDE + 1
-    second = items.where(F.col("id") == first * store.ITEM_STRIDE + 2).select("path").first()
+    second = items.where(F.col("id") == first + 1).select("path").first()
     return store.override_keeper(items, first, second.path if second else "").select("id", "path", "action")
 
 
