@@ -277,7 +277,7 @@ def repeated_spans(docs: DataFrame, length: int, stash: Stash) -> DataFrame:
     kinds = stash.save(again.groupBy("lead", "context").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "at", "start", "end")).alias("one")), "contexts")
     whole = again.join(kinds.where("times > 1").select("lead", "context"), ["lead", "context"])
     whole = stash.save(whole.select("id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")), "whole")
-    per_lead = kinds.groupBy("lead").agg(F.count(F.lit(1)).alias("n_contexts")).where("n_contexts > 1")
+    per_lead = stash.save(kinds.groupBy("lead").agg(F.count(F.lit(1)).alias("n_contexts")).where("n_contexts > 1"), "per-lead")
     mixed = stash.save(kinds.join(per_lead, "lead").select("lead", "times", "one.id", "one.at", "one.start", "one.end", "n_contexts"), "mixed")
     stash.drop("shared", "contexts")
     cut = cut_contexts(mixed.where(F.col("n_contexts") <= HOT_CONTEXTS), docs)
