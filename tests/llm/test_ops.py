@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from rows import same_rows
 from pyspark.sql import functions as F
 
@@ -546,6 +547,32 @@ def test_classifier(spark):
     assert len(got) > 50 and sum(r.predicted == r.quality for r in got) / len(got) > 0.95
 
 
+def test_classifier_scores_are_sums_of_rules(docs, spark, sf):
+    """Every score recomputed from the rules' weights over statistics that are counted anew."""
+    import math
+
+    every = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = rule_ensemble.train(every, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert model.rules
+    for d in (docs, every):
+        got = {r.doc_id: r for r in rule_ensemble.score(d, model).collect()}
+        for i, t in _texts(d).items():
+            t = t or ""
+            w = WORD.findall(t)
+            windows = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+            cover = {k + j for k in range(len(w) - 2) if windows[tuple(w[k : k + 3])] > 1 for j in range(3)}
+            lines = [x for x in t.split("\n") if WORD.search(x)]
+            chars, one = sum(map(len, w)), lambda n: max(n, 1)
+            upper = len(regex.findall(r"\p{Lu}", t))
+            x = {
+                "words": len(w), "word_length": chars / one(len(w)), "symbol_rate": sum(c in "#*$%&|<>" for c in t) / one(len(w)), "upper_rate": upper / one(chars),
+                "dup_line_rate": (len(lines) - len(set(lines))) / one(len(lines)), "repeat_rate": len(cover) / one(len(w)), "words_per_line": len(w) / one(len(lines)),
+            }
+            holds = lambda c: (x[rule_ensemble.NAMES[c.feature]] > c.cut) == c.above
+            total = model.bias + sum(weight for rule, weight in model.rules if all(map(holds, rule)))
+            assert got[i].score == pytest.approx(1 / (1 + math.exp(-total))) and got[i].predicted == (got[i].score >= 0.7)
+
+
 def test_classifier_of_little(docs, spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     got = rule_ensemble.score(docs, rule_ensemble.train(docs, none)).collect()
