@@ -34,12 +34,12 @@ def content_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     """
     one = docs.where(F.col(id_column).isNotNull()).groupBy(id_column).agg(F.min(text).alias(text))
     sets = shingle_sets(one, id_column, text).withColumn("sig", F.sha2(F.array_join("sh", ","), 256))
-    reps = sets.where("n > 0").groupBy("sig").agg(F.min(F.struct("id", "sh", "n")).alias("r")).select("sig", "r.*")
+    reps = sets.where("n > 0").groupBy("sig").agg(F.min(F.struct("id", "sh", "n")).alias("r")).select("sig", "r.*").checkpoint()
     shingles = reps.select("id", "n", F.explode("sh").alias("h"))
     spread = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     ranked = shingles.join(spread, "h").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
     prefix = F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))
-    posted = ranked.select("id", "n", F.explode(prefix).alias("p")).where("p.df > 1").select(F.col("p.h").alias("h"), "id", "n")
+    posted = ranked.select("id", "n", F.explode(prefix).alias("p")).where("p.df > 1").select(F.col("p.h").alias("h"), "id", "n").checkpoint()
     may = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -48,8 +48,8 @@ def content_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         return d.where(common >= least * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
 
     first = posted.groupBy("h").agg(F.min(F.struct("id", "n")).alias("f")).select("h", F.col("f.id").alias("a"), F.col("f.n").alias("na"))
-    near = posted.join(first, "h").where((F.col("id") != F.col("a")) & may(F.col("n"), F.col("na"))).select("a", F.col("id").alias("b")).distinct()
-    links = verified(near)
+    near = posted.join(first, "h").where((F.col("id") != F.col("a")) & may(F.col("n"), F.col("na"))).select("a", F.col("id").alias("b")).distinct().checkpoint()
+    links = verified(near).checkpoint()
     labels = clusters(links)
     known = posted.join(labels, "id", "left").withColumn("c", F.coalesce("label", "id")).drop("label")
     x, y = known.alias("x"), known.alias("y")

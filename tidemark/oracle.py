@@ -100,14 +100,6 @@ coalesce(sum(size_bytes) FILTER (rank > 1), 0) || ',"csv_report":"","quarantine_
     "table_sorted": f"{ONE} SELECT row_number() OVER (ORDER BY size_bytes DESC, lower(fname), path) AS place, path, size_bytes, action FROM rec",
     "groups_ordered": f"""{ONE} SELECT group_id, count(*) AS n_members, '["' || string_agg(path, '","' ORDER BY rank > 1, path) || '"]' AS paths FROM rec GROUP BY 1""",
     "newest_keeper": f"{ONE} SELECT group_id, path, CASE WHEN row_number() OVER (PARTITION BY group_id ORDER BY modified_epoch DESC, string_split(path, '/')) = 1 THEN 'KEEP' ELSE 'DUPLICATE' END AS action FROM rec",
-    "content_near_duplicates": r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0) x),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL),
-e0 AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)),
-e AS (SELECT a AS u, b AS v FROM e0 UNION SELECT b, a FROM e0),
-r(id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.id)
-SELECT id AS doc_id, min(c) AS class_id FROM r GROUP BY 1""",
     "progress_text": f"""WITH {FILES} SELECT path, regexp_replace(CAST(size_bytes AS VARCHAR) || '000', '^(\\d{{1,3}}?)((?:\\d{{3}})+)$', '\\1') || regexp_replace(regexp_replace(CAST(size_bytes AS VARCHAR) || '000', '^(\\d{{1,3}}?)((?:\\d{{3}})+)$', '\\2'), '(\\d{{3}})', ',\\1', 'g') AS bytes,
 CASE WHEN length(path) <= 24 THEN path ELSE path[1:21] || '...' END AS short,
 CASE WHEN size_bytes >= 2000 THEN printf('%.1f', size_bytes / 2000.0::DOUBLE) || 'k/s' ELSE CAST(CAST(round_even(size_bytes / 2.0, 0) AS BIGINT) AS VARCHAR) || '/s' END AS rate,

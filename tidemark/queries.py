@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
-from tidemark.operators import content, exact, keepers, matchers, reports, similarity, store
+from tidemark.operators import exact, keepers, matchers, reports, similarity, store
 from tidemark.plans import corpus
 from tidemark.plans.session import ensure_checkpoints
 from tidemark.streaming import watch
@@ -247,13 +247,6 @@ def newest_keeper(spark, sf):
     return exact.duplicate_records(corpus.files(spark, sf, content=True), keeper=keepers.NewestKeeper()).select("group_id", "path", "action")
 
 
-@query
-def content_near_duplicates(spark, sf):
-    """Classes of documents whose word shingles agree."""
-    ensure_checkpoints(spark)
-    return content.content_classes(corpus.documents(spark, sf).select("doc_id", "text"))
-
-
 @query
 def progress_text(spark, sf):
     """Counts, names, rates and times as a terminal shows them."""
