@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -384,6 +385,34 @@ def test_hamming_pairs_by_bands(spark):
     assert got == {(i, j): bits(x ^ y) for i, x in codes for j, y in codes if i < j and bits(x ^ y) <= 3}
 
 
+def _exchanged(spark, run):
+    """What ``run`` returns, and the rows that its stages wrote to exchanges."""
+    sc = spark.sparkContext._jsc.sc()
+    convert = spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        s = sc.statusStore()
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in convert.asJava(s.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))}
+
+    before = stages()
+    out = run()
+    return out, sum(n for k, n in stages().items() if k not in before)
+
+
+def test_hamming_pairs_exchange_few_rows(spark):
+    """At 19 of 64 bits an index is probed with hundreds of values a code and more; none of that may become rows."""
+    rng = np.random.default_rng(4)
+    codes = rng.integers(-(1 << 63), (1 << 63) - 1, 1500)
+    d = spark.createDataFrame(list(enumerate(codes.tolist())), "id bigint, code bigint")
+    got, rows = _exchanged(spark, lambda: {(r.a, r.b): r.distance for r in similarity.hamming_pairs(d, 19).collect()})
+    apart = np.bitwise_count(codes.view(np.uint64)[:, None] ^ codes.view(np.uint64)[None, :])
+    assert got == {(i, j): int(apart[i, j]) for i, j in zip(*np.nonzero(np.triu(apart <= 19, 1)), strict=True)}
+    assert rows < 20 * len(codes)
+    few = {(r.x, r.y) for r in similarity.code_pairs(d.select("code").distinct(), 19, 100).collect()}  # 15 blocks
+    assert few == {tuple(sorted((int(codes[i]), int(codes[j])))) for i, j in got}
+
+
 def test_clusters_of_long_chains(spark):
     ensure_checkpoints(spark)
     chains = spark.range(200).selectExpr("id a", "id + 1 b").union(spark.range(1000, 1090).selectExpr("id + 1", "id"))
