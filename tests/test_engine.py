@@ -413,6 +413,19 @@ def test_hamming_pairs_exchange_few_rows(spark):
     assert few == {tuple(sorted((int(codes[i]), int(codes[j])))) for i, j in got}
 
 
+def test_hamming_clusters_of_dense_codes(spark):
+    """Codes that are all near each other take some links a code, not all pairs."""
+    ensure_checkpoints(spark)
+    rng = np.random.default_rng(5)
+    flips = [sum(1 << int(b) for b in rng.choice(40, 4, replace=False)) for _ in range(1200)]
+    codes = [*flips, *(f ^ ((1 << 23) - 1 << 40) for f in flips[:100]), 0x5555555555555555]
+    d = spark.createDataFrame(list(enumerate(codes)), "id bigint, code bigint")
+    got, rows = _exchanged(spark, lambda: {r.id: r.label for r in similarity.hamming_clusters(d, 10).collect()})
+    assert got == {**dict.fromkeys(range(1200), 0), **dict.fromkeys(range(1200, 1300), 1200)}
+    assert rows < 60 * len(codes)
+    assert similarity.code_links(d.select("code").distinct(), 10, 100).count() < 30 * len(codes)  # 14 blocks
+
+
 def test_clusters_of_long_chains(spark):
     ensure_checkpoints(spark)
     chains = spark.range(200).selectExpr("id a", "id + 1 b").union(spark.range(1000, 1090).selectExpr("id + 1", "id"))

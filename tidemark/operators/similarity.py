@@ -102,6 +102,11 @@ def code_pairs(codes: DataFrame, most: int, block_rows: int = 32768) -> DataFram
     return _compare_codes(codes, most, False, block_rows)
 
 
+def code_links(codes: DataFrame, most: int, block_rows: int = 32768) -> DataFrame:
+    """``x, y, distance`` of pairs within ``most`` bits that connect all that ``code_pairs`` connects: fewer from a cell than it has codes."""
+    return _compare_codes(codes, most, True, block_rows)
+
+
 def hamming_pairs(sig: DataFrame, most: int) -> DataFrame:
     """``a, b, distance`` of all pairs of ids within ``most`` bits. ``sig``: id, code. Codes are compared once each, however many ids have them."""
     near = code_pairs(sig.select("code").distinct(), most)
@@ -114,7 +119,7 @@ def hamming_pairs(sig: DataFrame, most: int) -> DataFrame:
 def hamming_clusters(sig: DataFrame, most: int) -> DataFrame:
     """``id, label`` of single-link clusters of more than one id, without all pairs of equal codes: those join their code's least id."""
     least = sig.groupBy("code").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    near = code_pairs(sig.select("code").distinct(), most)
+    near = code_links(sig.select("code").distinct(), most)
     x, y = least.select(F.col("code").alias("x"), F.col("rep").alias("a")), least.select(F.col("code").alias("y"), F.col("rep").alias("b"))
     labels = clusters(near.join(x, "x").join(y, "y").select("a", "b"))
     d = least.join(labels, F.col("rep") == F.col("id"), "left").where("n > 1 or label is not null").select("code", F.coalesce("label", "rep").alias("label"))
@@ -162,7 +167,8 @@ def clusters(pairs: DataFrame) -> DataFrame:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    both = saved(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a")).distinct(), "edges")
+    ways = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
+    both = saved(pairs.select(F.explode(ways).alias("w")).select("w.*").distinct(), "edges")
     labels = saved(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("label")), "0")
     step = 0
     while True:
