@@ -426,6 +426,23 @@ def test_hamming_clusters_of_dense_codes(spark):
     assert similarity.code_links(d.select("code").distinct(), 10, 100).count() < 30 * len(codes)  # 14 blocks
 
 
+def test_cosine_pairs_by_blocks(spark):
+    """Pairs as by brute force over several blocks; vectors of zeros make NaN as in SQL, odd ones are in no pair."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(900, 8)).astype(np.float32)
+    v[7] = v[700] * 2
+    d = spark.createDataFrame([*((f"{i:03}", v[i].tolist()) for i in range(900)), ("odd", [1.0]), ("null", None), ("hole", [None] * 8), (None, v[0].tolist())], "id string, vec array<float>")
+    w = v.astype(np.float64)
+    w /= np.linalg.norm(w, axis=1)[:, None]
+    s = w @ w.T
+    expected = {(f"{i:03}", f"{j:03}"): s[i, j] for i, j in zip(*np.nonzero(np.triu(s >= 0.9, 1)), strict=True)}
+    for block_rows in (1024, 32768):
+        got = {(r.a, r.b): r.similarity for r in similarity.cosine_pairs(d, 0.9, block_rows).collect()}
+        assert got.keys() == expected.keys() and all(got[k] == pytest.approx(expected[k]) for k in got)
+    few = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "id bigint, vec array<double>")
+    assert sorted((r.a, r.b, repr(r.similarity)) for r in similarity.cosine_pairs(few, 0.4).collect()) == [(1, 2, "nan"), (1, 3, "nan")]
+
+
 def test_clusters_of_long_chains(spark):
     ensure_checkpoints(spark)
     chains = spark.range(200).selectExpr("id a", "id + 1 b").union(spark.range(1000, 1090).selectExpr("id + 1", "id"))

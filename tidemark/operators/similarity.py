@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 BITS = 64
 
@@ -126,26 +127,56 @@ def hamming_clusters(sig: DataFrame, most: int) -> DataFrame:
     return sig.select("id", "code").join(d, "code").select("id", "label")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+def cosine_pairs(vectors: DataFrame, least: float, block_rows: int = 32768) -> DataFrame:
+    """``a, b, similarity`` (a < b) of all pairs of at least ``least``, exactly. ``vectors``: id, vec.
 
-
-def cosine_pairs(vectors: DataFrame, least: float, block_rows: int = 4096) -> DataFrame:
-    """``a, b, similarity`` of all pairs of at least ``least``, exactly. ``vectors``: id, vec.
-
-    Blocks of about ``block_rows`` rows meet block by block: a row goes to one cell for each block, on an equi-join
-    of cells, so a cell's work has a bound and nothing is broadcast. All pairs are compared: at low thresholds in 64
-    dimensions no index rules any out for certain, so the work grows with the square of the rows.
+    Blocks of vectors meet block by block, see ``_cells``, so a cell's work has a bound and nothing is broadcast. All
+    pairs are compared: at low thresholds in 64 dimensions no index rules any out for certain, so the work grows with
+    the square of the rows. A product of single-precision matrices rules out pairs that are below ``least`` by more
+    than its error can be; the others are computed in double precision, one dimension after the other. Vectors of
+    different lengths, and those with null elements, are in no pair; a vector of zeros is similar to none by a number, so its
+    pairs are NaN, which like everywhere in Spark is above all numbers.
     """
-    v = vectors.where("vec is not null")
-    blocks = max(4, -(-v.count() // block_rows))
-    v = v.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = v.select(F.col("id").alias("a"), F.col("vec").alias("va"), "blk", F.explode(every).alias("other"))
-    right = v.select(F.col("id").alias("b"), F.col("vec").alias("vb"), F.col("blk").alias("other"), F.explode(every).alias("blk"))
-    s = cosine(F.col("va"), F.col("vb"))
-    return left.join(right, ["blk", "other"]).where("a < b").select("a", "b", s.alias("similarity")).where(F.col("similarity") >= least)
+    tile, chunk = 4096, 1024
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).combine_chunks()
+        vec = t["vec"].combine_chunks() if isinstance(t["vec"], pa.ChunkedArray) else t["vec"]
+        n = t["n"][0].as_py()
+        full = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vec), n)
+        side = t["side"].to_numpy()
+        at = np.flatnonzero(side == 0)
+        alone = not t["cell"][0].as_py() % (blocks + 1)  # both blocks are one
+        to = at if alone else np.flatnonzero(side == 1)
+        with np.errstate(all="ignore"):
+            norms = np.zeros(len(full))
+            for k in range(n):
+                norms += full[:, k] * full[:, k]
+            unit = (full / np.sqrt(norms)[:, None]).astype(np.float32)
+            low, high = unit[at], unit[to]
+            bound = np.float32(least - 2.4e-7 * (n + 8))
+            for i0 in range(0, len(at), chunk):
+                for j0 in range(i0 // tile * tile if alone else 0, len(to), tile):
+                    i, j = np.nonzero(~(low[i0 : i0 + chunk] @ high[j0 : j0 + tile].T < bound))
+                    i, j = i + i0, j + j0
+                    if alone:
+                        i, j = i[i < j], j[i < j]
+                    i, j = at[i], to[j]
+                    for part in range(0, len(i), 1 << 16):
+                        x, y = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
+                        dot = np.zeros(len(x))
+                        for k in range(n):
+                            dot += full[x, k] * full[y, k]
+                        s = dot / np.sqrt(norms[x] * norms[y])
+                        sure = ~(s < least)
+                        yield pa.RecordBatch.from_arrays([t["id"].take(pa.array(x[sure])).combine_chunks(), t["id"].take(pa.array(y[sure])).combine_chunks(), pa.array(s[sure])], names=["a", "b", "similarity"])
+
+    v = vectors.where("id is not null and size(vec) > 0 and not exists(vec, x -> x is null)").select("id", "vec", F.size("vec").alias("n"))
+    longest = v.agg(F.max("n")).first()[0] or 1
+    dealt, blocks = _cells(v, "id", max(1024, min(block_rows, (1 << 21) // longest)))
+    schema = StructType([StructField("a", v.schema["id"].dataType), StructField("b", v.schema["id"].dataType), StructField("similarity", DoubleType())])
+    met = _by_cell(dealt, blocks, ["cell", "n"]).applyInArrow(run, schema)
+    return met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
