@@ -368,6 +368,13 @@ def test_plans_spare_keepers(spark, tmp_path):
         reports.carry_out(ask.selectExpr("'permanent' op", "path src", "null dst", "1 size_bytes"), keepers)
 
 
+def test_rates_round_as_printf(spark):
+    """Halves to even, and by the exact value: 1.45 is a little less, 1.05 a little more than it says."""
+    sizes = [*range(1990, 42000, 25), 9999999, 123456789012345, 39999, 2000 * 7 + 1999, 19_900, 19_901]
+    got = spark.createDataFrame([(n,) for n in sizes], "n bigint").select("n", X.rate(F.col("n"), F.lit(2)).alias("r")).collect()
+    assert {r.n: r.r for r in got} == {n: f"{n / 2000:.1f}k/s" if n >= 2000 else f"{round(n / 2)}/s" for n in sizes}
+
+
 def test_hamming_clusters(spark):
     ensure_checkpoints(spark)
     codes = [(1, 0), (2, 0), (3, 7), (4, 7 << 30), (5, (7 << 30) | 3), (6, -1)]

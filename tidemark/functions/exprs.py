@@ -134,10 +134,20 @@ def shortened(text: Column, most: int) -> Column:
     return F.when(F.char_length(text) <= most, text).otherwise(F.concat(F.substr(text, F.lit(1), F.lit(max(0, most - 3))), F.lit("...")))
 
 
+def _tenths(x: Column) -> Column:
+    """A number of at least 1 with one decimal, its exact binary value rounded half to even as printf does; Java's formatter rounds its shortest decimal form, half up."""
+    whole = F.floor(x)
+    scaled = ((x - whole) * float(1 << 52)).cast("long") * 10  # exact: such a number has at most 52 bits below the point
+    digit, rest = F.shiftrightunsigned(scaled, 52), scaled.bitwiseAND(F.lit((1 << 52) - 1))
+    up = (rest > 1 << 51) | ((rest == 1 << 51) & (digit % 2 == 1))
+    digit = digit + up.cast("long")
+    return F.concat((whole + F.when(digit == 10, 1).otherwise(0)).cast("string"), F.lit("."), (digit % 10).cast("string"))
+
+
 def rate(done: Column, seconds: Column) -> Column:
     """Items a second; thousands as k."""
     r = done.cast("double") / F.greatest(seconds.cast("double"), F.lit(0.001))
-    return F.when(r >= 1000, F.concat(F.format_string("%.1f", r / 1000), F.lit("k/s"))).otherwise(F.concat(F.bround(r, 0).cast("long").cast("string"), F.lit("/s")))
+    return F.when(r >= 1000, F.concat(_tenths(r / 1000), F.lit("k/s"))).otherwise(F.concat(F.bround(r, 0).cast("long").cast("string"), F.lit("/s")))
 
 
 def clock(seconds: Column) -> Column:
