@@ -477,6 +477,38 @@ def test_near_duplicates_around_a_common_passage(spark):
     assert check_classes(texts, got, 0.95) >= 40 and max(Counter(got.values()).values()) < 5
 
 
+def crowd(seed):
+    """Texts of one passage, and of some a copy with every third of its other words changed: pairs of little more than 0.8 that meet in crowded buckets only."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(5000)}"
+    passage = [word() for _ in range(50)]
+    texts = []
+    for _ in range(90):
+        own = [word() for _ in range(60)]
+        texts.append(own[:30] + passage + own[30:])
+    for t in texts[:45]:
+        texts.append([word() if not 30 <= k < 80 and k % 3 == 0 else w for k, w in enumerate(t)])
+    return {i: " ".join(t) for i, t in enumerate(texts)}
+
+
+def lost_in_crowds(texts, got):
+    """Similar pairs that share a band but no class, and the number of similar pairs that share one."""
+    words = {i: near_dedup.normal_words(t) for i, t in texts.items()}
+    keys = {i: set(near_dedup.band_keys(near_dedup.shingle_hashes(w)).tolist()) for i, w in words.items()}
+    pairs = [(a, b) for a in words for b in words if a < b and keys[a] & keys[b] and near_dedup.aligned_similarity(words[a], words[b]) >= 0.8]
+    return [(a, b) for a, b in pairs if got[a] != got[b]], len(pairs)
+
+
+def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
+    texts = crowd(31)
+    d = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(d).collect()}
+    assert lost_in_crowds(texts, got) == ([], 45) and Counter(got.values()).most_common(1)[0][1] == 2
+    monkeypatch.setattr(near_dedup, "CROWD_BLOCK", 20)  # several blocks a bucket, and ids that are strings
+    named = near_dedup.near_duplicates(d.selectExpr("concat('k', 1000 + doc_id) doc_id", "text"))
+    assert {int(r.doc_id[1:]) - 1000: int(r.class_id[1:]) - 1000 for r in named.collect()} == got
+
+
 def test_components(spark):
     from tidemark.llm.common import Stash
     from tidemark.llm.components import components

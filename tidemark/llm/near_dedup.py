@@ -10,10 +10,10 @@ order over the words of the longer text, at least 0.8.
 
 Equal texts are one representative from the start. Members of a bucket are aligned with
 the bucket's least member first. What is left in more than one class is compared across
-classes: all pairs in buckets of at most COLD members; members of larger ones are dealt
-again by four times as many consecutive bands, aligned with the least of those they meet
-there, and so on, until no such bucket is left. So groups of thousands of copies cost one alignment a copy, and texts
-that merely share a passage are told apart by their other bands, not pair by pair.
+classes, all pairs of every bucket: in those of at most COLD members each pair is verified;
+in larger ones only pairs whose marks, bits of their words, do not rule them out, see
+``crowded_pairs``, which loses none. So groups of thousands of copies cost one alignment a copy, and
+texts that merely share a passage some machine words a pair.
 """
 
 from __future__ import annotations
@@ -35,8 +35,12 @@ from .components import components
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
-#: Buckets of at most so many members are compared pair by pair; larger ones are dealt again by more bands.
+#: In buckets of at most so many members all pairs are verified; in larger ones those that the marks leave.
 COLD = 32
+#: Members of a large bucket meet in blocks of about so many.
+CROWD_BLOCK = 1024
+#: Bits of the marks of a long text.
+MARK_BITS = 1 << 16
 #: Texts whose words a worker keeps while it verifies pairs.
 MEMO_TEXTS = 500
 
@@ -187,6 +191,59 @@ def sketch_documents(docs: DataFrame, id_column: str, text: str, least: float =
     return map_arrow(source, run, schema.add("sig", "binary").add("keys", ArrayType(LongType())).add("n", "integer").add("lc", "integer"))
 
 
+def word_marks(words: list[bytes]) -> bytes:
+    """Bits at the hashes of the words, each labelled with how often it occurred before: between two and four bits a word, up to ``MARK_BITS``."""
+    marks = np.zeros(min(MARK_BITS, max(64, 1 << (2 * len(words) - 1).bit_length())), bool)
+    marks[labelled(word_hashes(words)) & np.uint64(len(marks) - 1)] = True
+    return np.packbits(marks, bitorder="little").tobytes()
+
+
+def crowded_pairs(hot: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """``a, b`` (a < b): all pairs of different classes in one bucket, but those that can't be similar. ``hot``: key, l, rep, n, c, size. ``texts``: id, text.
+
+    A bit that only one text of a pair has stands for a word of it that the other lacks, and that no alignment matches.
+    So a pair with more such bits than the similarity leaves it words is out for certain, and no other is. Large
+    buckets meet in cells of two blocks of members, so no task gets all of one.
+    """
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([word_marks(normal_words(t)) for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "marks"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).combine_chunks()
+        marks = [np.frombuffer(m, np.uint64) for m in t["marks"].to_pylist()]
+        width = min(map(len, marks))  # powers of two; wider marks are folded, as places are remainders
+        bits = np.ascontiguousarray(np.array([np.bitwise_or.reduce(m.reshape(-1, width)) for m in marks]).T)
+        ones = np.bitwise_count(bits).sum(axis=0, dtype=np.int32)
+        n, side = t["n"].to_numpy(), t["side"].to_numpy()
+        c = t["c"].combine_chunks().dictionary_encode()
+        c = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).indices.to_numpy()
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        alone = t["alone"][0].as_py()
+        y = x if alone else y
+        for i0 in range(0, len(x), 64):
+            i = x[i0 : i0 + 64, None]
+            j = y[None, :]
+            common = np.zeros((len(i), len(y)), np.int32)
+            for row in bits:
+                common += np.bitwise_count(row[i] & row[j])
+            need = np.ceil(least * np.maximum(n[i], n[j]) - 1e-9)
+            may = (c[i] != c[j]) & (n[i] - (ones[i] - common) >= need) & (n[j] - (ones[j] - common) >= need)
+            if alone:
+                may &= i < j
+            p, q = np.nonzero(may)
+            yield pa.RecordBatch.from_arrays([t["rep"].take(pa.array(x[p + i0])).combine_chunks(), t["rep"].take(pa.array(y[q])).combine_chunks()], names=["a", "b"])
+
+    marks = map_arrow(texts.join(hot.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "text"), marked, StructType([texts.schema["id"]]).add("marks", "binary"))
+    rows = hot.join(marks, F.col("rep") == F.col("id")).drop("id").withColumn("blocks", F.ceil(F.col("size") / CROWD_BLOCK).cast("int"))
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", "l", F.least("blk", "other").alias("low"), F.greatest("blk", "other").alias("high"), (F.col("blk") > F.col("other")).cast("int").alias("side"), (F.col("blk") == F.col("other")).alias("alone"), "rep", "n", "c", "marks")
+    kind = hot.schema["rep"].dataType
+    met = rows.groupBy("key", "l", "low", "high").applyInArrow(run, StructType([StructField("a", kind), StructField("b", kind)]))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def verify_pairs(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """``a, b, similarity`` of the pairs that are similar enough. ``texts``: id, text. A text travels once for each pair it is the higher id of."""
 
@@ -252,24 +309,18 @@ def similar_links(groups: DataFrame, texts: DataFrame, least: float, stash: Stas
         labels = components(links[0], stash, "labels-first")
         members = members.drop("c").join(labels, F.col("rep") == F.col("id"), "left").withColumn("c", F.coalesce("label", "rep")).drop("id", "label")
     members = stash.save(members, "members-labelled")
-    run, more = 1, False
-    while True:  # only what is left of a bucket in more than one class
-        sized = members.groupBy("key", "l").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n", "c")).alias("f"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
-        sized = stash.save(sized.select("key", "l", "size", F.col("f.rep").alias("a"), F.col("f.n").alias("na"), F.col("f.c").alias("ca")), f"sized-{run}")
-        buckets = stash.save(members.join(sized, ["key", "l"]), f"buckets-{run}")
-        hot = buckets.where(F.col("size") > COLD)
-        to_least = hot.where((F.col("c") != F.col("ca")) & may(F.col("n"), F.col("na"))).select("a", F.col("rep").alias("b"))
-        cold = buckets.where(F.col("size") <= COLD).select("key", "l", "rep", "n", "lc", "c")
-        x, y = cold.alias("x"), cold.alias("y")
-        on = (F.col("x.key") == F.col("y.key")) & (F.col("x.l") == F.col("y.l")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & may(F.col("x.n"), F.col("y.n"))
-        on = on & (F.col("x.l") == F.greatest("x.lc", "y.lc"))  # a pair of one length class meets twice
-        more |= attempt(to_least.unionByName(x.join(y, on).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))), str(run))
-        if run == BANDS or hot.isEmpty():
-            break
-        run = min(4 * run, BANDS)
-        keys = groups.select(F.col("id").alias("rep"), F.concat("keys", "keys").alias("keys"))
-        again = hot.join(keys, "rep").withColumn("key", F.xxhash64("band", F.slice("keys", F.col("band") + 1, run)))
-        members = stash.save(again.select("key", "band", "rep", "n", "lc", "c", "l"), f"members-{run}")
+    # only what is left of a bucket in more than one class
+    sized = members.groupBy("key", "l").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key", "l", "size")
+    buckets = stash.save(members.join(stash.save(sized, "sized"), ["key", "l"]), "buckets")
+    cold = buckets.where(F.col("size") <= COLD).select("key", "l", "rep", "n", "lc", "c")
+    x, y = cold.alias("x"), cold.alias("y")
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.l") == F.col("y.l")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & may(F.col("x.n"), F.col("y.n"))
+    on = on & (F.col("x.l") == F.greatest("x.lc", "y.lc"))  # a pair of one length class meets twice
+    rest = x.join(y, on).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    hot = buckets.where(F.col("size") > COLD)
+    if not hot.isEmpty():
+        rest = rest.unionByName(crowded_pairs(hot, near_texts, least))
+    more = attempt(rest, "rest")
     if more:
         labels = components(together(links), stash, "labels")
     return stash.save(together(links), "links"), None if labels is None else stash.save(labels, "labels-last")
