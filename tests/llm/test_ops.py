@@ -733,6 +733,15 @@ def test_pipeline_against_brute_force(spark, sf):
     assert Counter((r.doc_id, r.source, r.n_tokens, r.ids_sha256) for r in got) == plain_pipeline(spark, sf)
 
 
+def test_pipeline_keeps_one_of_each_crowded_pair(spark, sf):
+    import corpus_pipeline
+
+    rows = [(i, t, "en", "s", len(t)) for i, t in crowd(31).items()]  # each pair of it shares a band
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()}
+    assert kept == set(range(90))
+
+
 def test_pipeline_of_odd_tables(spark, sf, tmp_path):
     import corpus_pipeline
 
