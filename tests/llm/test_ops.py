@@ -509,6 +509,43 @@ def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
     assert {int(r.doc_id[1:]) - 1000: int(r.class_id[1:]) - 1000 for r in named.collect()} == got
 
 
+def test_crowded_buckets_make_no_row_a_pair(spark, monkeypatch):
+    """Texts that are too much alike for their marks to tell them apart: their pairs stay in cells, and all links are found."""
+    from tidemark.llm.common import Stash
+
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(5000)}"
+    passage = [word() for _ in range(74)]
+    texts = [[*(word() for _ in range(13)), *passage, *(word() for _ in range(13))] for _ in range(120)]
+    texts += [[word() if k in (2, 5, 40, 91, 97) else w for k, w in enumerate(t)] for t in texts[:30]]
+    texts = {i: " ".join(t) for i, t in enumerate(texts)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    rows, save = {}, Stash.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Stash, "save", counted)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(d).collect()}
+    lost, n = lost_in_crowds(texts, got)
+    assert not lost and n >= 30 and check_classes(texts, got, 1) >= 30
+    assert rows["sized"] and sum(n for name, n in rows.items() if name.startswith("pairs-")) < 150 * near_dedup.COLD // 2 < 150 * 149 // 4
+    assert rows["links-crowded"] < 150
+
+
+def test_all_buckets_in_cells(spark, monkeypatch):
+    """Cells find what rows of pairs find, in blocks bounded by members or by words."""
+    d = spark.createDataFrame(list(crowd(31).items()), "doc_id bigint, text string")
+    found = []
+    for cold, block, words in ((1 << 30, 1024, 1 << 20), (1, 5, 1 << 20), (1, 1024, 600)):
+        for name, value in (("COLD", cold), ("CROWD_BLOCK", block), ("CROWD_WORDS", words), ("MEMO_WORDS", 200)):
+            monkeypatch.setattr(near_dedup, name, value)
+        found.append({r.doc_id: r.class_id for r in near_dedup.near_duplicates(d).collect()})
+    assert found[0] == found[1] == found[2] and len(set(found[0].values())) == 90
+
+
 def test_components(spark):
     from tidemark.llm.common import Stash
     from tidemark.llm.components import components

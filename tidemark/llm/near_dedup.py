@@ -10,10 +10,11 @@ order over the words of the longer text, at least 0.8.
 
 Equal texts are one representative from the start. Members of a bucket are aligned with
 the bucket's least member first. What is left in more than one class is compared across
-classes, all pairs of every bucket: in those of at most COLD members each pair is verified;
-in larger ones only pairs whose marks, bits of their words, do not rule them out, see
-``crowded_pairs``, which loses none. So groups of thousands of copies cost one alignment a copy, and
-texts that merely share a passage some machine words a pair.
+classes, all pairs of every bucket: in those of at most COLD members each pair is a row and is
+verified; larger ones are settled in cells of their members, see ``crowded_links``, where no pair
+becomes a row and none is lost: a cell gives the links that join its classes, fewer than it has
+members. So groups of thousands of copies cost one alignment a copy, and texts that merely share
+a passage some machine words a pair.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
@@ -35,14 +37,17 @@ from .components import components
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
-#: In buckets of at most so many members all pairs are verified; in larger ones those that the marks leave.
+#: In buckets of at most so many members pairs are rows; larger ones are settled in cells.
 COLD = 32
-#: Members of a large bucket meet in blocks of about so many.
+#: Members of a large bucket meet in blocks of about so many, and of about so many words.
 CROWD_BLOCK = 1024
+CROWD_WORDS = 1 << 20
 #: Bits of the marks of a long text.
 MARK_BITS = 1 << 16
 #: Texts whose words a worker keeps while it verifies pairs.
 MEMO_TEXTS = 500
+#: Words that a worker keeps split while it settles a cell.
+MEMO_WORDS = 1 << 19
 
 _GAPS = bytes(0x20 if b <= 0x20 else b for b in range(256))
 _rng = np.random.default_rng(20240917)
@@ -198,30 +203,61 @@ def word_marks(words: list[bytes]) -> bytes:
     return np.packbits(marks, bitorder="little").tobytes()
 
 
-def crowded_pairs(hot: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """``a, b`` (a < b): all pairs of different classes in one bucket, but those that can't be similar. ``hot``: key, l, rep, n, c, size. ``texts``: id, text.
+def crowded_links(hot: DataFrame, groups: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """``a, b, similarity`` (a < b): links that join all classes which similar pairs of one bucket join. ``hot``: key, l, rep, n, lc, c, size, longest. ``groups``: id, keys. ``texts``: id, text.
 
-    A bit that only one text of a pair has stands for a word of it that the other lacks, and that no alignment matches.
-    So a pair with more such bits than the similarity leaves it words is out for certain, and no other is. Large
-    buckets meet in cells of two blocks of members, so no task gets all of one.
+    Large buckets meet in cells of two blocks of members, so no task gets all of one. A cell looks at each pair of
+    classes not joined yet. Its marks come first: a bit that only one text of a pair has stands for a word of it that the
+    other lacks, and that no alignment matches, so a pair with more such bits than the similarity leaves it words is out
+    for certain, and no other is. Then the words both have, then the alignment. Of the buckets in which a pair meets one
+    looks at it: that of a band they share, of those the next from a place that differs by pair, which spreads the work.
     """
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([word_marks(normal_words(t)) for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "marks"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([word_marks(normal_words(t)) for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "text", "keys", "marks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)).combine_chunks()
+        t = pa.Table.from_batches(list(batches))
+        t = t.take(pc.sort_indices(t["text"])).combine_chunks()  # the same links in each run
         marks = [np.frombuffer(m, np.uint64) for m in t["marks"].to_pylist()]
         width = min(map(len, marks))  # powers of two; wider marks are folded, as places are remainders
         bits = np.ascontiguousarray(np.array([np.bitwise_or.reduce(m.reshape(-1, width)) for m in marks]).T)
         ones = np.bitwise_count(bits).sum(axis=0, dtype=np.int32)
-        n, side = t["n"].to_numpy(), t["side"].to_numpy()
+        n, side, spin = t["n"].to_numpy(), t["side"].to_numpy(), t["spin"].to_numpy()
+        keys = np.array(t["keys"].to_pylist(), np.int64)
+        key, alone = t["key"][0].as_py(), t["alone"][0].as_py()
+        upper = t["lc"].to_numpy() == t["l"].to_numpy()
         c = t["c"].combine_chunks().dictionary_encode()
         c = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).indices.to_numpy()
+        joined = list(range(len(c)))
+        bags: dict[int, np.ndarray] = {}
+        memo: dict[int, list[bytes]] = {}
+        held = 0
+
+        def root(k: int) -> int:
+            while joined[k] != k:
+                joined[k] = k = joined[joined[k]]
+            return k
+
+        def words(k: int) -> list[bytes]:
+            nonlocal held
+            if k not in memo:
+                if held > MEMO_WORDS:
+                    memo.clear()
+                    held = 0
+                memo[k] = normal_words(t["text"][k].as_py())
+                held += len(memo[k])
+            return memo[k]
+
+        def bag(k: int) -> np.ndarray:
+            if k not in bags:
+                bags[k] = np.sort(labelled(word_hashes(words(k))))
+            return bags[k]
+
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        alone = t["alone"][0].as_py()
         y = x if alone else y
+        left, right, values = [], [], []
         for i0 in range(0, len(x), 64):
             i = x[i0 : i0 + 64, None]
             j = y[None, :]
@@ -229,19 +265,39 @@ def crowded_pairs(hot: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             for row in bits:
                 common += np.bitwise_count(row[i] & row[j])
             need = np.ceil(least * np.maximum(n[i], n[j]) - 1e-9)
-            may = (c[i] != c[j]) & (n[i] - (ones[i] - common) >= need) & (n[j] - (ones[j] - common) >= need)
+            may = (c[i] != c[j]) & (upper[i] | upper[j]) & (n[i] - (ones[i] - common) >= need) & (n[j] - (ones[j] - common) >= need)
             if alone:
                 may &= i < j
             p, q = np.nonzero(may)
-            yield pa.RecordBatch.from_arrays([t["rep"].take(pa.array(x[p + i0])).combine_chunks(), t["rep"].take(pa.array(y[q])).combine_chunks()], names=["a", "b"])
-
-    marks = map_arrow(texts.join(hot.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "text"), marked, StructType([texts.schema["id"]]).add("marks", "binary"))
-    rows = hot.join(marks, F.col("rep") == F.col("id")).drop("id").withColumn("blocks", F.ceil(F.col("size") / CROWD_BLOCK).cast("int"))
-    rows = rows.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "l", F.least("blk", "other").alias("low"), F.greatest("blk", "other").alias("high"), (F.col("blk") > F.col("other")).cast("int").alias("side"), (F.col("blk") == F.col("other")).alias("alone"), "rep", "n", "c", "marks")
+            p, q = x[p + i0], y[q]
+            turn = (np.arange(BANDS) - (spin[p] + spin[q])[:, None]) % BANDS
+            band = np.where(keys[p] == keys[q], turn, BANDS).argmin(axis=1)
+            here = (keys[p, band] == key) & (keys[q, band] == key)
+            for u, v in zip(p[here].tolist(), q[here].tolist(), strict=True):
+                cu, cv = root(c[u]), root(c[v])
+                if cu == cv or len(np.intersect1d(bag(u), bag(v), assume_unique=True)) < least * max(n[u], n[v]) - 1e-9:
+                    continue
+                s = aligned_similarity(words(u), words(v), least)
+                if s >= least:
+                    joined[cu] = cv
+                    left.append(u)
+                    right.append(v)
+                    values.append(s)
+        rep = t["rep"].combine_chunks()
+        yield pa.RecordBatch.from_arrays([rep.take(pa.array(left, pa.int64())), rep.take(pa.array(right, pa.int64())), pa.array(values, pa.float64())], names=["a", "b", "similarity"])
+
+    # a pair of one length class meets in two buckets, of which that of their class counts
+    hot = hot.join(hot.where("lc = l").select("key", "l").distinct(), ["key", "l"], "left_semi")
+    kits = texts.join(hot.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "text").join(groups.select("id", "keys"), "id")
+    kits = map_arrow(kits, marked, StructType(list(kits.schema)).add("marks", "binary"))
+    rows = hot.withColumn("blocks", F.ceil(F.greatest(F.col("size") / CROWD_BLOCK, F.col("size") * F.col("longest") / CROWD_WORDS)).cast("int"))
+    rows = rows.join(kits, F.col("rep") == F.col("id")).drop("id").withColumn("hash", F.xxhash64("rep"))
+    rows = rows.withColumn("blk", F.pmod("hash", "blocks").cast("int")).withColumn("spin", F.pmod(F.shiftright("hash", 32), F.lit(BANDS)).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", "l", F.least("blk", "other").alias("low"), F.greatest("blk", "other").alias("high"), (F.col("blk") > F.col("other")).cast("int").alias("side"), (F.col("blk") == F.col("other")).alias("alone"), "rep", "n", "lc", "c", "spin", "marks", "keys", "text")
     kind = hot.schema["rep"].dataType
-    met = rows.groupBy("key", "l", "low", "high").applyInArrow(run, StructType([StructField("a", kind), StructField("b", kind)]))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = rows.groupBy("key", "l", "low", "high").applyInArrow(run, StructType([StructField("a", kind), StructField("b", kind)]).add("similarity", "double"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
 def verify_pairs(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -310,17 +366,19 @@ def similar_links(groups: DataFrame, texts: DataFrame, least: float, stash: Stas
         members = members.drop("c").join(labels, F.col("rep") == F.col("id"), "left").withColumn("c", F.coalesce("label", "rep")).drop("id", "label")
     members = stash.save(members, "members-labelled")
     # only what is left of a bucket in more than one class
-    sized = members.groupBy("key", "l").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key", "l", "size")
+    sized = members.groupBy("key", "l").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("n").alias("longest")).where("c0 <> c1").select("key", "l", "size", "longest")
     buckets = stash.save(members.join(stash.save(sized, "sized"), ["key", "l"]), "buckets")
     cold = buckets.where(F.col("size") <= COLD).select("key", "l", "rep", "n", "lc", "c")
     x, y = cold.alias("x"), cold.alias("y")
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.l") == F.col("y.l")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & may(F.col("x.n"), F.col("y.n"))
     on = on & (F.col("x.l") == F.greatest("x.lc", "y.lc"))  # a pair of one length class meets twice
     rest = x.join(y, on).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    more = attempt(rest, "rest")
     hot = buckets.where(F.col("size") > COLD)
     if not hot.isEmpty():
-        rest = rest.unionByName(crowded_pairs(hot, near_texts, least))
-    more = attempt(rest, "rest")
+        found = crowded_links(hot, groups, near_texts, least).join(tried[-1], ["a", "b"], "left_anti")
+        links.append(stash.save(found, "links-crowded"))
+        more = not links[-1].isEmpty() or more
     if more:
         labels = components(together(links), stash, "labels")
     return stash.save(together(links), "links"), None if labels is None else stash.save(labels, "labels-last")
